@@ -1,0 +1,123 @@
+"""Nearest-in-time matching of two streams by entity, as a stateful streaming join.
+
+Both sides are buffered per entity. A left row is emitted once the watermark has passed its time plus the
+tolerance, as no reading that could still be nearer can then arrive; right rows are evicted once the
+watermark has passed them by twice the tolerance. An entity's time is cut into sections, each with a state of its own, so a
+hot entity is spread over many tasks; right rows near a section's edge go to the neighbouring section as well.
+"""
+
+from __future__ import annotations
+
+import bisect
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from thermaline.session import work_dir
+
+OUT = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("gap_us", T.LongType())])
+#: Event times are clamped to these years for the watermark only, as far as pandas reaches; the last marks the end of all input.
+FIRST, END = "1700-01-01 00:00:00", "2200-01-01 00:00:00"
+END_MS = 7_258_118_400_000
+STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("lt", "lid", "rt", "rid")])
+
+
+def pair(left: list[tuple[int, int]], right: list[tuple[int, int]], tolerance_us: int) -> list[tuple[int, int, int]]:
+    """(left id, right id, gap) of each (time, id) on the left; ``right`` is sorted; of equal gaps the smaller id wins."""
+    out, times = [], [t for t, _ in right]
+    for t, i in left:
+        k = bisect.bisect_left(times, t)
+        best = None
+        if k < len(right):  # the first at or after has the smallest id of its time, as (time, id) is sorted
+            best = (times[k] - t, right[k][1])
+        if k > 0:
+            j = bisect.bisect_left(times, times[k - 1])
+            best = min(best, (t - times[j], right[j][1])) if best else (t - times[j], right[j][1])
+        if best and best[0] <= tolerance_us:
+            out.append((i, best[1], best[0]))
+    return out
+
+
+def _matcher(tolerance_us: int):
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lt, lid, rt, rid = map(list, state.get) if state.exists else ([], [], [], [])
+        for b in batches:
+            side = b["_right"].to_numpy(dtype=bool)
+            t, i = b["_us"].to_numpy(), b["_id"].to_numpy()
+            lt += t[~side].tolist()
+            lid += i[~side].tolist()
+            rt += t[side].tolist()
+            rid += i[side].tolist()
+        # nothing older than the watermark arrives any more, and nothing at all after the end
+        horizon = state.getCurrentWatermarkMs() * 1000 if state.getCurrentWatermarkMs() < END_MS - 86_400_000 else 1 << 62
+        left, right = sorted(set(zip(lt, lid))), sorted(set(zip(rt, rid)))
+        cut = bisect.bisect_left(left, (horizon - tolerance_us, -(1 << 63)))
+        found = pair(left[:cut], right, tolerance_us)
+        left = left[cut:]
+        oldest = min(horizon, left[0][0] if left else horizon) - 2 * tolerance_us
+        right = right[bisect.bisect_left(right, (oldest, -(1 << 63))) :]
+        if left or (right and right[-1][0] >= oldest):
+            state.update(([t for t, _ in left], [i for _, i in left], [t for t, _ in right], [i for _, i in right]))
+            wake = (left[0][0] if left else right[-1][0] + tolerance_us) + tolerance_us
+            state.setTimeoutTimestamp(max(min(wake // 1000 + 1, END_MS - 86_400_000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["left_id", "right_id", "gap_us"])
+
+    return step
+
+
+def nearest_join_stream(left: DataFrame, right: DataFrame, entity: str, time: str, left_id: str, right_id: str, tolerance_us: int, delay: str, section_us: int = 6 * 3_600_000_000) -> DataFrame:
+    """Streaming rows ``(left_id, right_id, gap_us)``: the nearest right row of each left row of the same entity.
+
+    ``left`` and ``right`` are streaming frames; rows later than ``delay`` behind the newest event are dropped as late by
+    the watermark. At most ``tolerance_us`` apart, inclusive; of equally near rows the smaller id wins. Rows whose
+    entity, time or id is null match nothing; repeated rows count once; left rows without a partner give no row.
+    """
+    if section_us < 2 * tolerance_us:
+        raise ValueError("a section must be at least twice the tolerance long")
+
+    def side(df: DataFrame, row_id: str, is_right: bool) -> DataFrame:
+        us = F.unix_micros(F.col(time).cast("timestamp"))
+        rows = df.select(F.col(entity).cast("string").alias("_e"), us.alias("_us"), F.col(row_id).cast("long").alias("_id"), F.lit(is_right).alias("_right"), F.least(F.greatest(F.col(time).cast("timestamp"), F.lit(FIRST).cast("timestamp")), F.lit(END).cast("timestamp")).alias("_ts")).filter("_e IS NOT NULL AND _us IS NOT NULL AND _id IS NOT NULL")
+        bucket = lambda d: F.expr(f"floor((_us + {d}) / {section_us})")
+        sections = F.array_distinct(F.array(bucket(-tolerance_us), bucket(tolerance_us))) if is_right else F.array(bucket(0))
+        return rows.withColumn("_s", F.explode(sections))
+
+    both = side(left, left_id, False).unionByName(side(right, right_id, True)).withWatermark("_ts", delay)
+    return both.groupBy("_e", "_s").applyInPandasWithState(_matcher(tolerance_us), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _source(spark, path: str, schema: T.StructType, files_per_batch: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    head, name = os.path.split(path.rstrip("/"))
+    return reader.parquet(f"{head}/{name[:-1]}[{name[-1]}]")  # as a pattern, a single file is taken like a folder of parts
+
+
+def nearest_join(left_path: str, right_path: str, spark, entity: str, time: str, left_id: str, right_id: str, tolerance_us: int, keep: str = "true", delay: str = "1 second") -> DataFrame:
+    """All pairs of two stored tables, made by the streaming join run over everything available.
+
+    The tables are read as one available batch, before which no watermark stands, so no row is late whatever
+    its order; a last row far ahead then moves the watermark past every horizon. Right rows not fulfilling
+    ``keep`` take no part. State, progress and output lie in the shared folder, so that a lost executor's work is redone
+    from there.
+    """
+    left = _source(spark, left_path, spark.read.parquet(left_path).schema, None)
+    right = _source(spark, right_path, spark.read.parquet(right_path).schema, None).filter(keep)
+    cols = lambda df, i: df.select(F.col(entity).cast("string").alias(entity), F.col(time).cast("timestamp").alias(time), F.col(i).alias(i))
+    root = work_dir(spark, "nearest")
+    end = f"{root}/end"
+    spark.sql(f"SELECT '' AS e, TIMESTAMP '{END}' AS t, CAST(NULL AS BIGINT) AS i").toDF(entity, time, right_id).coalesce(1).write.parquet(end)
+    ends = spark.readStream.schema(spark.read.parquet(end).schema).parquet(end)
+    pairs = nearest_join_stream(cols(left, left_id), cols(right, right_id).unionByName(ends.withColumn(right_id, F.lit(-1).cast("long"))), entity, time, left_id, right_id, tolerance_us, delay)
+    query = pairs.writeStream.format("parquet").option("path", f"{root}/pairs").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{root}/pairs")
