@@ -122,11 +122,11 @@ def flag_implausible(
 
 
 def _variogram(stuck: int) -> list[Column]:
-    """Medians of first and second lag differences, and how often a reading changes outside long constant runs."""
+    """Medians of first and second lag differences, the lower quartile of changes after equal readings, and how often a reading changes outside long constant runs."""
     d1, d2, bend = F.abs(F.col("_y") - F.col("_y1")), F.abs(F.col("_y") - F.col("_y2")), F.abs(F.col("_y") - 2 * F.col("_y1") + F.col("_y2"))
     return [
         F.percentile_approx(d1, F.lit(0.5), 1000).alias("_d1"), F.percentile_approx(d2, F.lit(0.5), 1000).alias("_d2"),
-        F.percentile_approx(bend, F.array(F.lit(0.5), F.lit(0.85)), 1000).alias("_bend"),
+        F.percentile_approx(bend, F.array(F.lit(0.5), F.lit(0.85)), 1000).alias("_bend"), F.percentile_approx(F.when((F.col("_y1") == F.col("_y2")) & (d1 > 0), d1), F.lit(0.25), 1000).alias("_step"),
         F.try_divide(F.count_if(F.col("_at") == 1).cast("double"), F.count_if(F.col("_at") < stuck)).alias("_change"),
     ]
 
@@ -135,12 +135,14 @@ def _model() -> list[Column]:
     """Autoregressive coefficient and scatter: ``Var(y - lag1) = 2 s^2 (1 - phi)``, ``Var(y - lag2) = 2 s^2 (1 - phi^2)``.
 
     The scatter is taken from second differences, which ignore drift; their upper part stands in for it where
-    coarse resolution makes the median zero.
+    coarse resolution makes the median zero. Where that is zero too, the usual change after equal readings, the
+    resolution, stands in for the median, so that single steps remain normal.
     """
     ratio = F.try_divide(F.col("_d2") * F.col("_d2"), F.col("_d1") * F.col("_d1"))
     phi = F.greatest(F.lit(0.0), F.least(F.lit(0.9), F.coalesce(ratio - 1, F.lit(0.0))))
     # median and 85 % point of |N(0,1)|; a second difference of independent readings has variance 6 s^2
     s = F.greatest(F.col("_bend")[0] / 0.6745, F.col("_bend")[1] / 1.4395) / 6**0.5
+    s = F.when(s > 0, s).otherwise(F.col("_step") / 0.6745 / 6**0.5)
     return [phi.alias("_phi"), s.alias("_scale"), F.col("_change")]
 
 
@@ -156,5 +158,5 @@ def _outlier(z: float) -> Column:
             pb, pa = before + F.pow(F.col("_phi"), F.lit(float(b))) * (m - before), after + F.pow(F.col("_phi"), F.lit(float(a))) * (p - after)
             calm = (F.abs(m - before) <= z * scale) & (F.abs(p - after) <= z * scale)
             scores.append(F.when(calm, F.greatest(y - F.greatest(pb, pa), F.least(pb, pa) - y)))
-    # a device without any scatter can't tell an outlier from a change
+    # a device that never changes has no scatter to compare with, and no outlier
     return F.coalesce(F.try_divide(F.greatest(*scores), scale), F.lit(0.0))
