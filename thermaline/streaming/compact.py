@@ -2,11 +2,14 @@
 
 A checkpointed stream discovers each file once and processes what is available in batches. A batch is written under
 its number, replacing whatever an interrupted attempt left there, so a retry never duplicates. Records are compared
-by value; the first line by file number and line keeps a record.
+by value; the first line by file number and line keeps a record. As a record may come again in any later batch, the
+batches are merged in the end: each record once over all of them, in as few files as the target size allows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from thermaline.session import work_dir
 from thermaline.streaming.nearest import _source
 
 RECORD = ["device", "record_no", "time_us", "st", "ast"]
+#: Bytes that a consolidated file should have at most.
+FILE_BYTES = 64 << 20
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -49,7 +54,7 @@ def first_of_each(records: DataFrame) -> DataFrame:
 
 
 def compact_stream(files: DataFrame, file_id: str, body: str, out: str, progress: str, parts: int | None = None):
-    """Starts a query that consolidates a stream of small files into ``out/batch=N``; see the module."""
+    """Starts a query that consolidates a stream of small files into ``out/batch=N``, each record once a batch; see the module."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = first_of_each(records_of(batch, file_id, body))
@@ -58,14 +63,38 @@ def compact_stream(files: DataFrame, file_id: str, body: str, out: str, progress
     return files.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
 
 
-def compact_table(spark: SparkSession, path: str, file_id: str, body: str, files_per_batch: int = 64) -> DataFrame:
-    """All records of a stored table of small files, each once, after the stream has processed everything available."""
+def merge_batches(batches: DataFrame, n_bytes: int, out: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes each record of all batches once to ``out``, replacing what is there, in files of about ``file_bytes`` at most.
+
+    ``n_bytes`` is the size of the batches as stored; records repeated between them are taken off it before it is divided
+    into files. Records are spread over the files by value, so a file is one task and needs no second exchange.
+    """
+    n = batches.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(*RECORD), 0.02).alias("kept")).first()
+    parts = max(1, math.ceil(n_bytes * min(1.0, n["kept"] / max(n["rows"], 1)) / file_bytes))
+    first_of_each(batches.repartition(parts, *RECORD)).write.mode("overwrite").parquet(out)
+
+
+def compact_table(spark: SparkSession, path: str, file_id: str, body: str, files_per_batch: int = 64, out: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """All records of a stored table of small files, each once, after the stream has processed everything available.
+
+    The result is the table written to ``out`` (by default a fresh folder of the shared one) by ``merge_batches``; a
+    further call for the same ``out`` replaces it.
+    """
     root = work_dir(spark, "compact")
+    out = out or f"{root}/table"
     stored = spark.read.parquet(path)
     stream = _source(spark, path, stored.schema, files_per_batch)
-    compact_stream(stream, file_id, body, f"{root}/out", f"{root}/progress").awaitTermination()
-    empty = first_of_each(records_of(stored, file_id, body))
-    return first_of_each(spark.read.schema(empty.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")) if _exists(spark, f"{root}/out") else empty.limit(0)
+    compact_stream(stream, file_id, body, f"{root}/batches", f"{root}/progress").awaitTermination()
+    schema = first_of_each(records_of(stored, file_id, body)).schema
+    found = _exists(spark, f"{root}/batches")
+    batches = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/batches") if found else spark.createDataFrame([], schema)
+    merge_batches(batches, _bytes(spark, f"{root}/batches") if found else 0, out, file_bytes)
+    return spark.read.schema(schema).parquet(out)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
