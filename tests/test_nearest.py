@@ -1,0 +1,32 @@
+from datetime import datetime, timedelta
+
+from thermaline.streaming.nearest import nearest_join, nearest_join_stream
+
+TIMES = [datetime(1600, 1, 1), datetime(1899, 12, 31), datetime(1969, 12, 31, 23, 59, 50), datetime(1970, 1, 1), datetime(1970, 1, 1, 0, 0, 30), datetime(2023, 5, 1), datetime(2195, 1, 1)]
+TOLERANCE = 5_000_000
+
+
+def sides(spark, times):
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "run long, l long, time timestamp")
+    right = spark.createDataFrame([(1, 100 + i, t + timedelta(seconds=2)) for i, t in enumerate(times)], "run long, r long, time timestamp")
+    return left.coalesce(1), right.coalesce(1)
+
+
+def test_rows_before_1970_keep_their_pairs(spark, tmp_path):
+    paths = [str(tmp_path / f"{n}.parquet") for n in ("left", "right")]
+    for df, p in zip(sides(spark, TIMES), paths):
+        df.write.parquet(p)
+    pairs = nearest_join(*paths, spark, "run", "time", "l", "r", TOLERANCE).collect()
+    assert sorted(tuple(p) for p in pairs) == [(i, 100 + i, 2_000_000) for i in range(len(TIMES))]
+
+
+def test_a_later_batch_completes_pairs_before_1970(spark, tmp_path):
+    left, right = sides(spark, TIMES[1:5])
+    for name, parts in (("left", [left, left.limit(0), left.limit(0).union(spark.createDataFrame([(2, 9, datetime(2024, 1, 1))], left.schema))]), ("right", [right.limit(0), right, right.limit(0)])):
+        for p in parts:
+            p.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = lambda n, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    pairs = nearest_join_stream(stream("left", left), stream("right", right), "run", "time", "l", "r", TOLERANCE, "100 days")
+    pairs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    found = {(r.left_id, r.right_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {(i, 100 + i) for i in range(4)}

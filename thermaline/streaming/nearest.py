@@ -21,9 +21,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from thermaline.session import work_dir
 
 OUT = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("gap_us", T.LongType())])
-#: Event times are clamped to these years for the watermark only, as far as pandas reaches; the last marks the end of all input.
-FIRST, END = "1700-01-01 00:00:00", "2200-01-01 00:00:00"
-END_MS = 7_258_118_400_000
+#: Event times are clamped to 1900 to 2190 for the watermark only; the last marks the end of all input.
+END = "2190-01-01 00:00:00"
+#: Spark's watermark starts at 1970 and drops what lies before, so event times are shifted past it, as far as pandas reaches.
+FIRST_US, END_US = -2_208_988_800_000_000, 6_942_585_600_000_000
+SHIFT_US = 86_400_000_000 - FIRST_US
+FIRST_MS, END_MS = (FIRST_US + SHIFT_US) // 1000, (END_US + SHIFT_US) // 1000
 STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("lt", "lid", "rt", "rid")])
 
 
@@ -53,8 +56,9 @@ def _matcher(tolerance_us: int):
             lid += i[~side].tolist()
             rt += t[side].tolist()
             rid += i[side].tolist()
-        # nothing older than the watermark arrives any more, and nothing at all after the end
-        horizon = state.getCurrentWatermarkMs() * 1000 if state.getCurrentWatermarkMs() < END_MS - 86_400_000 else 1 << 62
+        # nothing older than the watermark arrives any more, and nothing at all after the end; before the first year all may
+        mark = state.getCurrentWatermarkMs()
+        horizon = 1 << 62 if mark >= END_MS - 86_400_000 else mark * 1000 - SHIFT_US if mark >= FIRST_MS else -(1 << 62)
         left, right = sorted(set(zip(lt, lid))), sorted(set(zip(rt, rid)))
         cut = bisect.bisect_left(left, (horizon - tolerance_us, -(1 << 63)))
         found = pair(left[:cut], right, tolerance_us)
@@ -64,7 +68,7 @@ def _matcher(tolerance_us: int):
         if left or (right and right[-1][0] >= oldest):
             state.update(([t for t, _ in left], [i for _, i in left], [t for t, _ in right], [i for _, i in right]))
             wake = (left[0][0] if left else right[-1][0] + tolerance_us) + tolerance_us
-            state.setTimeoutTimestamp(max(min(wake // 1000 + 1, END_MS - 86_400_000), state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(FIRST_MS, min((wake + SHIFT_US) // 1000 + 1, END_MS - 86_400_000), mark + 1))
         elif state.exists:
             state.remove()
         if found:
@@ -85,7 +89,7 @@ def nearest_join_stream(left: DataFrame, right: DataFrame, entity: str, time: st
 
     def side(df: DataFrame, row_id: str, is_right: bool) -> DataFrame:
         us = F.unix_micros(F.col(time).cast("timestamp"))
-        rows = df.select(F.col(entity).cast("string").alias("_e"), us.alias("_us"), F.col(row_id).cast("long").alias("_id"), F.lit(is_right).alias("_right"), F.least(F.greatest(F.col(time).cast("timestamp"), F.lit(FIRST).cast("timestamp")), F.lit(END).cast("timestamp")).alias("_ts")).filter("_e IS NOT NULL AND _us IS NOT NULL AND _id IS NOT NULL")
+        rows = df.select(F.col(entity).cast("string").alias("_e"), us.alias("_us"), F.col(row_id).cast("long").alias("_id"), F.lit(is_right).alias("_right"), F.timestamp_micros(F.least(F.greatest(us, F.lit(FIRST_US)), F.lit(END_US)) + F.lit(SHIFT_US)).alias("_ts")).filter("_e IS NOT NULL AND _us IS NOT NULL AND _id IS NOT NULL")
         bucket = lambda d: F.expr(f"floor((_us + {d}) / {section_us})")
         sections = F.array_distinct(F.array(bucket(-tolerance_us), bucket(tolerance_us))) if is_right else F.array(bucket(0))
         return rows.withColumn("_s", F.explode(sections))
