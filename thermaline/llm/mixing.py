@@ -72,8 +72,12 @@ def mix(sizes: DataFrame, targets: DataFrame, weight: str | None = None, seed: i
     return Mix(chosen, report)
 
 
-def mix_corpus(documents: DataFrame, targets: DataFrame, seed: int = 42, name: str = DEFAULT, folder: str = FOLDER) -> Mix:
-    """``mix`` of a corpus ``(doc_id, text, source)``, sizes in tokens; texts are encoded once and the sizes written."""
+def mix_corpus(documents: DataFrame, targets: DataFrame, seed: int = 42, name: str = DEFAULT, folder: str = FOLDER, weight: str | None = None) -> Mix:
+    """``mix`` of a corpus ``(doc_id, text, source)``, sizes in tokens; texts are encoded once and the sizes written.
+
+    ``weight`` is a column of ``documents`` that inclusion within a source is proportional to; by default it is equal.
+    """
     listed = F.broadcast(targets.filter("source IS NOT NULL").select("source").distinct())
-    sizes = token_counts(documents.select("doc_id", "text", "source").join(listed, "source", "left_semi"), "doc_id", "text", ["source"], name, folder)
-    return mix(written(sizes, "sizes"), targets, seed=seed)
+    columns = ["doc_id", "text", "source"] + ([F.col(weight).cast("double").alias("weight")] if weight else [])
+    sizes = token_counts(documents.select(*columns).join(listed, "source", "left_semi"), "doc_id", "text", ["source", "weight"], name, folder)
+    return mix(written(sizes, "sizes"), targets, "weight" if weight else None, seed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thermaline.llm.mixing import mix_corpus
 from thermaline.llm.splitting import split_documents
@@ -22,6 +23,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
 
 
+def p9_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with unequal inclusion: in proportion to the files that a commit touches, one more so that none is left out."""
+    documents = table(spark, sf_dir, "documents").withColumn("weight", F.coalesce("n_files", F.lit(0)) + 1)
+    return mix_corpus(documents, table(spark, sf_dir, "mix_targets"), weight="weight").chosen
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).filter("piece_no = 2").select("doc_id")
 
@@ -31,7 +38,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+    return {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_weighted": p9_weighted, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
