@@ -349,6 +349,13 @@ class Result:
         return out
 
 
+def _given(fix_alpha: DataFrame) -> dict:
+    rows = fix_alpha.limit(MOST_LOCATIONS + 1).collect()
+    if len(rows) > MOST_LOCATIONS:
+        raise ValueError(f"more than {MOST_LOCATIONS} given attenuations")
+    return {r.ix: (r.alpha, r.alpha_var) for r in rows}
+
+
 def calibrate_single(meas: DataFrame, series: DataFrame, sections: DataFrame, st_var: Variance, ast_var: Variance, matching: list | None = None, trans_att: list[float] = (), fix_gamma: tuple[float, float] | None = None, fix_dalpha: tuple[float, float] | None = None, fix_alpha: DataFrame | None = None) -> Result:
     """Temperatures ``tmpf`` with ``tmpf_var`` and its components (``dT_*`` and covariances) of a single-ended set-up.
 
@@ -360,7 +367,7 @@ def calibrate_single(meas: DataFrame, series: DataFrame, sections: DataFrame, st
         raise ValueError("given attenuations exclude a given dalpha and matching sections")
     rows = with_variance(with_variance(meas, "st", st_var), "ast", ast_var)
     geo = geometry(meas, sections, matching, list(trans_att), False)
-    given = {r.ix: (r.alpha, r.alpha_var) for r in fix_alpha.limit(MOST_LOCATIONS).collect()} if fix_alpha is not None else None
+    given = _given(fix_alpha) if fix_alpha is not None else None
     return single_temperatures(rows, fit(rows, series, geo, Fixed(fix_gamma, fix_dalpha, given), False), fix_alpha)
 
 
@@ -406,7 +413,7 @@ def calibrate_double(meas: DataFrame, series: DataFrame, sections: DataFrame, st
     for label, var in (("st", st_var), ("ast", ast_var), ("rst", rst_var), ("rast", rast_var)):
         rows = with_variance(rows, label, var)
     geo = geometry(meas, sections, matching, list(trans_att), True)
-    given = {r.ix: (r.alpha, r.alpha_var) for r in fix_alpha.limit(MOST_LOCATIONS).collect()} if fix_alpha is not None else None
+    given = _given(fix_alpha) if fix_alpha is not None else None
     f = fit(rows, series, geo, Fixed(fix_gamma, None, given), True)
     return double_temperatures(rows, f, fix_alpha)
 
