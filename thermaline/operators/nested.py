@@ -3,7 +3,8 @@
 Each record is walked once into triples of path, ordinals and value. The path names the levels without list
 positions, the ordinals are the 1-based positions of the elements along it. A table is a repeated ancestor:
 its triples are grouped by the ordinals down to that ancestor, which are its key and its link to the parents, and pivoted into
-columns. Records are walked on the executors, one at a time; nothing is grouped in Python.
+columns. Records are walked on the executors, one at a time; nothing is grouped in Python. A record's text is read by
+the JSON library as a whole, as it is one value of a column and so in memory anyway; its triples are then streamed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermaline.session import written
+
 TRIPLES = "row_id long, path string, ords array<int>, seq int, value string"
 
 
@@ -40,13 +43,22 @@ def scalar_text(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
-def walk(record, container: str = "Set", joiner: str = ":") -> Iterator[tuple[str, list[int], str | None]]:
+def opened(text: str):
+    """What a level stands for that is written as text: the object or list that it holds, else the text itself."""
+    if text.lstrip("\ufeff \t\r\n")[:1] not in ("{", "["):
+        return text
+    value = read_json(text)
+    return value if isinstance(value, (dict, list)) else text
+
+
+def walk(record, container: str = "Set", joiner: str = ":", levels: frozenset[str] = frozenset()) -> Iterator[tuple[str, list[int], str | None]]:
     """(path, ordinals, value) of every element and scalar, parents first.
 
     A list stands for its items, one object for a list of one; null, [] and {} hold no element. Levels whose name
     ends in ``container`` are no elements: what they hold is numbered over all of them under the element above. A name with
     ``joiner`` stands for several levels. ``#text`` is the value of the element that holds it. An element's own triple has the value
-    null if it is an object. Ordinals of containers are 0.
+    null if it is an object. Ordinals of containers are 0. At the paths in ``levels``, a text that holds a JSON object or
+    list stands for what it holds; any other text remains one.
     """
     stack = [("", [], record, {})]
     while stack:
@@ -57,14 +69,16 @@ def walk(record, container: str = "Set", joiner: str = ":") -> Iterator[tuple[st
                 if name == "#text":
                     continue
                 steps = name.split(joiner) if joiner in name and not name.startswith("@") else [name]
+                p = "/".join([path, *steps]) if path else "/".join(steps)
                 items, todo = [], [value]
                 while todo:
                     x = todo.pop()
+                    if isinstance(x, str) and p in levels:
+                        x = opened(x)
                     if isinstance(x, list):
                         todo.extend(reversed(x))
                     elif x is not None and x != {}:
                         items.append(x)
-                p = "/".join([path, *steps]) if path else "/".join(steps)
                 own = steps[-1].endswith(container) and len(container) > 0
                 for x in items:
                     if own:
@@ -83,10 +97,11 @@ def walk(record, container: str = "Set", joiner: str = ":") -> Iterator[tuple[st
 def triples(records: DataFrame, row_id: str, body: str, keep: list[str] | None = None, container: str = "Set", joiner: str = ":", root: str | None = None) -> DataFrame:
     """Rows ``(row_id, path, ords, seq, value)`` of every record that is valid JSON (see ``read_json`` and ``walk``).
 
-    ``keep`` limits the paths; ``root`` is a top-level name that records must have. Null, empty and unreadable bodies
-    give nothing.
+    ``keep`` limits the paths; on the way to them, levels may be written as JSON text. ``root`` is a top-level name that
+    records must have. Null, empty and unreadable bodies give nothing.
     """
     wanted = set(keep) if keep is not None else None
+    above = frozenset("/".join(steps[:k]) for steps in (p.split("/") for p in keep or []) for k in range(1, len(steps)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,7 +110,7 @@ def triples(records: DataFrame, row_id: str, body: str, keep: list[str] | None =
                 record = read_json(text)
                 if isinstance(record, dict) and (root is None or root in record):
                     seq = 0
-                    for path, ords, value in walk(record, container, joiner):
+                    for path, ords, value in walk(record, container, joiner, above):
                         seq += 1
                         if wanted is None or path in wanted:
                             rows.append((i, path, ords, seq, value))
@@ -155,6 +170,6 @@ def curves_with_software(records: DataFrame, row_id: str, body: str) -> DataFram
     """Each curve with its mnemonic and its log's software version, '' where there is none."""
     log = Table(LOGS.path, LOGS.numbers, {"software_version": LOGS.columns["software_version"]})
     curve = Table(CURVES.path, CURVES.numbers, {"mnemonic": "mnemonic", "text": ""})
-    facts = triples(records, row_id, body, log.paths() + curve.paths(), root="WITSMLComposite")
+    facts = written(triples(records, row_id, body, log.paths() + curve.paths(), root="WITSMLComposite"), "triples")  # so that each body is parsed once
     curves, logs, key = pivot(facts, curve), pivot(facts, log), ["row_id", *LOGS.numbers]
     return curves.join(logs, key, "left").select(*key, "curve_no", F.coalesce("text", "mnemonic", F.lit("")).alias("mnemonic"), F.coalesce("software_version", F.lit("")).alias("software_version"))
