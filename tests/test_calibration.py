@@ -5,7 +5,7 @@ import pytest
 
 from physics import AM, AP, GAMMA, by_cell, fibre
 from thermaline.operators import arrowhead
-from thermaline.operators.calibration import _gather, _rows_of, calibrate_double, calibrate_single, geometry, with_variance
+from thermaline.operators.calibration import Design, _gather, calibrate_double, calibrate_single, geometry, with_variance
 from thermaline.operators.sections import sections_frame
 
 
@@ -106,8 +106,8 @@ def test_noisy_fit_equals_the_dense_solution(spark, double):
         r = calibrate_single(meas, probes, sec, var["st"], var["ast"], **kw)
     geo = geometry(meas, sec, kw["matching"], kw["trans_att"], double)
     gathered = _gather(rows, probes, geo, double).orderBy("time").toPandas()
-    make = _rows_of(geo, r.fit.fixed, double)
-    p, cov, err = arrowhead.dense([make(t) for t in gathered.itertuples(index=False)])
+    design = Design(geo, r.fit.fixed, double)
+    p, cov, err = arrowhead.dense([design.rows(t) for t in gathered.itertuples(index=False)])
     n, m = len(r.fit.shared), len(r.fit.own)
     assert np.allclose(r.fit.value, p[:n], rtol=1e-8, atol=1e-10) and abs(r.fit.err / err - 1) < 1e-7
     assert np.allclose(r.fit.cov, cov[:n, :n], rtol=1e-4, atol=1e-12)
@@ -124,7 +124,7 @@ def test_variance_kinds_agree(spark):
     x, temps, series, sec = plan(nx=20, nt=3)
     meas, probes = fibre(spark, temps, x, noise=1.0, series=series)
     sec = sections_frame(spark, sec)
-    cells = meas.select("ix", "time").withColumn("v", meas.st * 0 + 5.0)
+    cells = meas.withColumn("v", meas.st * 0 + 5.0).select("ix", "time", "v")
     kinds = [5.0, lambda s: s * 0 + 5.0, cells, cells.select("ix", "v").distinct(), cells.select("time", "v").distinct()]
     got = [calibrate_single(meas, probes, sec, v, v).params["gamma"] for v in kinds]
     assert np.allclose(got, got[0], rtol=1e-10)

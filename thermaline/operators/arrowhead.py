@@ -12,6 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Eigenvalues of the scaled shared system below this share of the largest count as zero.
+RANK = 1e-14
+
 
 @dataclass
 class Rows:
@@ -35,22 +38,23 @@ def own_inverse(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, (vt.T / s) @ u.T, (vt.T / s**2) @ vt
 
 
-def partial(rows: Rows, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Contribution to the shared system for the residual at ``p``: normal matrix, right side, squares, observations."""
+def partial(rows: Rows, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int, int]:
+    """Contribution to the shared system for the residual at ``p``: normal matrix, right side, squares, observations, rank of the own design."""
     sw = np.sqrt(rows.w)
     u, _, _ = own_inverse(rows)
     g, r = rows.g * sw[:, None], (rows.y - rows.g @ p) * sw
     g, r = g - u @ (u.T @ g), r - u @ (u.T @ r)
-    return g.T @ g, g.T @ r, float(r @ r), len(r)
+    return g.T @ g, g.T @ r, float(r @ r), len(r), u.shape[1]
 
 
-def solve(s: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Step and inverse of a shared system, scaled to unit diagonal; directions that nothing determines stay zero."""
+def solve(s: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Step, inverse and rank of a shared system, scaled to unit diagonal; directions that nothing determines stay zero."""
     if not len(b):
-        return np.zeros(0), np.zeros((0, 0))
+        return np.zeros(0), np.zeros((0, 0)), 0
     d = np.sqrt(np.where(np.diag(s) > 0, np.diag(s), 1.0))
-    inverse = np.linalg.pinv(s / d[:, None] / d[None, :], rcond=1e-14, hermitian=True) / d[:, None] / d[None, :]
-    return inverse @ b, inverse
+    scaled = s / d[:, None] / d[None, :]
+    inverse = np.linalg.pinv(scaled, rcond=RANK, hermitian=True) / d[:, None] / d[None, :]
+    return inverse @ b, inverse, int(np.linalg.matrix_rank(scaled, tol=RANK * np.linalg.norm(scaled, 2), hermitian=True))
 
 
 def own(rows: Rows, p: np.ndarray, cov: np.ndarray, err: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +80,6 @@ def dense(blocks: list[Rows]) -> tuple[np.ndarray, np.ndarray, float]:
     scale = np.maximum(np.linalg.norm(x * w[:, None], axis=0), 1e-300)
     p = np.linalg.lstsq(x * w[:, None] / scale, y * w, rcond=1e-13)[0] / scale
     r = (y - x @ p) * w
-    err = float(r @ r) / (len(y) - x.shape[1])
+    err = float(r @ r) / (len(y) - np.linalg.matrix_rank(x * w[:, None] / scale, tol=1e-9))
     inverse = np.linalg.pinv((x * w[:, None] / scale).T @ (x * w[:, None] / scale), rcond=1e-13, hermitian=True) / scale[:, None] / scale[None, :]
     return p, inverse * err, err

@@ -9,6 +9,7 @@ Only the geometry (locations, sections) and the small system reach the driver.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,13 +25,17 @@ from thermaline.session import written
 ZERO_C = 273.15
 #: A fibre has fewer locations than this; the geometry is then small enough for the driver and for a broadcast.
 MOST_LOCATIONS = 200_000
+#: More shared parameters than this are refused: the small system and its inverse are dense on the driver.
+MOST_SHARED = 2_000
 Variance = float | int | Callable[[Column], Column] | str | DataFrame
 
 
 def with_variance(meas: DataFrame, label: str, var: Variance) -> DataFrame:
     """Adds ``<label>_v``: one number, a function of the intensity, a column of ``meas``, or rows by ``ix``, ``time`` or both.
 
-    A frame has its value in the one column that is neither key.
+    A frame has its value in the one column that is neither key; measurements without a row there keep a null
+    variance. Variances that are null, NaN, infinite or not positive become null; in the sections they raise when
+    a calibration is fitted.
     """
     name = f"{label}_v"
     if isinstance(var, DataFrame):
@@ -38,14 +43,16 @@ def with_variance(meas: DataFrame, label: str, var: Variance) -> DataFrame:
         value = [c for c in var.columns if c not in ("ix", "time", "x")]
         if not keys or len(value) != 1:
             raise ValueError("variances by location or time need the column ix or time and one value")
-        return meas.join(var.select(*keys, F.col(value[0]).cast("double").alias(name)), keys)
-    if callable(var):
-        return meas.withColumn(name, var(F.col(label)))
-    if isinstance(var, str):
-        return meas.withColumn(name, F.col(var).cast("double"))
-    if not np.isfinite(var) or var <= 0:
+        out = meas.join(var.select(*keys, F.col(value[0]).cast("double").alias(name)), keys, "left")
+    elif callable(var):
+        out = meas.withColumn(name, var(F.col(label)).cast("double"))
+    elif isinstance(var, str):
+        out = meas.withColumn(name, F.col(var).cast("double"))
+    elif not np.isfinite(var) or var <= 0:
         raise ValueError(f"the variance of {label} must be positive and finite")
-    return meas.withColumn(name, F.lit(float(var)))
+    else:
+        return meas.withColumn(name, F.lit(float(var)))
+    return out.withColumn(name, F.when((F.col(name) > 0) & (F.col(name) < float("inf")), F.col(name)))
 
 
 def log_ratio(a: str, b: str) -> Column:
@@ -62,32 +69,75 @@ class Geometry:
     pairs: list[tuple[int, int]]
     x: dict[int, float]
     splices: list[float]
-    columns: dict[int, int] = field(default_factory=dict)  # double-ended: column of a location's attenuation
-    zero: int = -1  # location where it is zero by definition
+    columns: dict[int, int] = field(default_factory=dict)  # double-ended: column of a fitted location's attenuation, -1 where it is zero
+    alphas: list[str] = field(default_factory=list)  # names of those columns
+
+    def needed(self) -> list[int]:
+        return sorted({r[0] for r in self.ref} | {i for p in self.pairs for i in p})
+
+
+def geometry(meas: DataFrame, sections: DataFrame, matching: list | None, splices: list[float], double: bool, series: DataFrame | None = None, check: bool = True) -> Geometry:
+    """``matching`` is a list of ``((head start, stop), (tail start, stop), reverse)``; both parts hold equally many locations.
 
+    Unless ``check`` is false, stretches that overlap or hold no location, and sections without a series, raise.
 
-def geometry(meas: DataFrame, sections: DataFrame, matching: list | None, splices: list[float], double: bool) -> Geometry:
-    """``matching`` is a list of ``((head start, stop), (tail start, stop), reverse)``; both parts hold equally many locations."""
+    Double-ended, the attenuation is zero at the first reference location. A constant step of it at a splice can't be told
+    from the splice's own losses, so it is defined as zero between the last fitted location before and the first behind it.
+    """
     where = sorted({(r.x, r.ix) for r in meas.select("ix", "x").distinct().limit(MOST_LOCATIONS + 1).collect()})
     if len(where) > MOST_LOCATIONS:
         raise ValueError(f"more than {MOST_LOCATIONS} locations")
     stretches = sorted((r.x_start, r.x_stop, r.section) for r in bounded(sections).collect())
     names = sorted({s[2] for s in stretches})
-    ref = [(ix, x, names.index(s)) for a, b, s in stretches for x, ix in where if a <= x <= b]
+    xs = [x for x, _ in where]
+    inside = lambda a, b: where[bisect_left(xs, a) : bisect_right(xs, b)]
+    if check:
+        if any(one[1] > two[0] for one, two in zip(stretches, stretches[1:])):
+            raise ValueError("stretches overlap")
+        if series is not None and set(names) - set(series.columns):
+            raise ValueError(f"no temperature series for {sorted(set(names) - set(series.columns))}")
+        for a, b, s in stretches:
+            if not inside(a, b):
+                raise ValueError(f"the stretch {a} to {b} of {s} holds no location")
+    ref = [(ix, x, names.index(s)) for a, b, s in stretches for x, ix in inside(a, b)]
     pairs = []
     for (h0, h1), (t0, t1), reverse in matching or []:
-        head, tail = [ix for x, ix in where if h0 <= x <= h1], [ix for x, ix in where if t0 <= x <= t1]
+        head, tail = [ix for _, ix in inside(h0, h1)], [ix for _, ix in inside(t0, t1)]
         if len(head) != len(tail):
             raise ValueError("matching sections hold different numbers of locations")
         pairs.extend(zip(head, tail[::-1] if reverse else tail))
     g = Geometry(ref, names, pairs, {ix: x for x, ix in where}, list(splices))
     if double and ref:
-        g.zero = ref[0][0]
-        fitted = sorted({r[0] for r in ref} | {i for p in pairs for i in p}, key=lambda i: g.x[i])
-        g.columns = {ix: k for k, ix in enumerate(i for i in fitted if i != g.zero)}
+        zero, before = ref[0][0], None
+        fitted = sorted(g.needed(), key=lambda i: g.x[i])
+        for i in fitted:
+            if i == zero:
+                g.columns[i] = -1
+            elif before is not None and any(g.x[before] < p <= g.x[i] for p in g.splices):
+                g.columns[i] = g.columns[before]
+            else:
+                g.columns[i] = len(g.alphas)
+                g.alphas.append(f"alpha_{i}")
+            before = i
+        if fitted and fitted[0] != zero:  # matched locations before the first section: their steps are counted from the zero location
+            _anchor(g, fitted, zero)
     return g
 
 
+def _anchor(g: Geometry, fitted: list[int], zero: int) -> None:
+    """Columns again, outwards from the location of zero attenuation, so that it joins its neighbours across a splice too."""
+    g.columns, g.alphas = {zero: -1}, []
+    at = fitted.index(zero)
+    for order in (fitted[at:], fitted[at::-1]):
+        for one, two in zip(order, order[1:]):
+            lo, hi = sorted((g.x[one], g.x[two]))
+            if any(lo < p <= hi for p in g.splices):
+                g.columns[two] = g.columns[one]
+            else:
+                g.columns[two] = len(g.alphas)
+                g.alphas.append(f"alpha_{two}")
+
+
 @dataclass
 class Fixed:
     """Parameters that are given: value and variance; attenuations by location."""
@@ -97,108 +147,97 @@ class Fixed:
     alpha: dict[int, tuple[float, float]] | None = None
 
 
-def single_rows(geo: Geometry, fixed: Fixed, ix: np.ndarray, lr: np.ndarray, var: np.ndarray, tref: np.ndarray) -> arrowhead.Rows:
-    """One time of a single-ended set-up: ``I = gamma/T - C - x dalpha - losses``, and differences of matched locations."""
-    at = {int(i): k for k, i in enumerate(ix)}
-    g, own, y, v = [], [], [], []
-    for i, x, s in geo.ref:
-        if i not in at or not np.isfinite(lr[at[i]]) or not np.isfinite(tref[s]):
-            continue
-        g.append([1 / (tref[s] + ZERO_C), -x, -1.0, i])
-        own.append([-1.0, *(-1.0 if x >= p else 0.0 for p in geo.splices)])
-        y.append(lr[at[i]])
-        v.append(var[at[i]])
-    for h, t in geo.pairs:
-        if h not in at or t not in at:
-            continue
-        a, b = geo.x[h], geo.x[t]
-        g.append([0.0, b - a, 0.0, -1])
-        own.append([0.0, *(float(a < p <= b) - float(b < p <= a) for p in geo.splices)])
-        y.append(lr[at[h]] - lr[at[t]])
-        v.append(var[at[h]] + var[at[t]])
-    g, own, y, v = np.array(g).reshape(-1, 4), np.array(own).reshape(-1, 1 + len(geo.splices)), np.array(y), np.array(v)
-    free = []
-    for col, given in ((0, fixed.gamma), (1, fixed.dalpha)):
-        if given is not None:
-            y, v = y - g[:, col] * given[0], v + g[:, col] ** 2 * given[1]
-        elif col == 0 or fixed.alpha is None:
-            free.append(col)
-    if fixed.alpha is not None:
-        a = np.array([fixed.alpha[int(i)] if i >= 0 else (0.0, 0.0) for i in g[:, 3]]).reshape(-1, 2)
-        y, v = y - g[:, 2] * a[:, 0], v + g[:, 2] ** 2 * a[:, 1]
-    return arrowhead.Rows(g[:, free], own, y, 1 / v)
-
-
-def double_rows(geo: Geometry, fixed: Fixed, ix: np.ndarray, f: np.ndarray, vf: np.ndarray, b: np.ndarray, vb: np.ndarray, tref: np.ndarray) -> arrowhead.Rows:
-    """One time of a double-ended set-up: ``F = gamma/T - df - A - losses``, ``B = gamma/T - db + A - losses``.
+class Design:
+    """The observation equations of one time, which are the same at every time but for what is missing.
 
-    Matched locations give the differences of their two directions, and those outside the sections half the difference of
-    the directions. Own parameters are df, db, then the forward and the backward losses of the splices.
+    Single-ended, ``I = gamma/T - c - x dalpha - losses``, and differences of matched locations. Double-ended,
+    ``F = gamma/T - df - A - losses`` and ``B = gamma/T - db + A - losses``; matched locations give the differences of both
+    directions, and those outside the sections half the difference of the directions, with the sum of both variances. Own
+    parameters are c, or df and db, then the forward and the backward losses of the splices.
     """
-    n, m = len(geo.columns), len(geo.splices)
-    at = {int(i): k for k, i in enumerate(ix)}
-    g, own, y, v = [], [], [], []
-
-    def fw(i, sign):
-        row, o = np.zeros(1 + n + 2), np.zeros(2 + 2 * m)
-        attenuation(row, i, -sign)
-        o[0] = -sign
-        for k, p in enumerate(geo.splices):
-            o[2 + k] = -sign * (geo.x[i] >= p)
-        return row, o
-
-    def bw(i, sign):
-        row, o = np.zeros(1 + n + 2), np.zeros(2 + 2 * m)
-        attenuation(row, i, sign)
-        o[1] = -sign
-        for k, p in enumerate(geo.splices):
-            o[2 + m + k] = -sign * (geo.x[i] < p)
-        return row, o
-
-    def attenuation(row, i, sign):
-        if fixed.alpha is not None:  # two last columns: what the given attenuations add to y and to its variance
-            row[1 + n] += sign * fixed.alpha[i][0]
-            row[2 + n] += sign**2 * fixed.alpha[i][1]
-        elif i != geo.zero:
-            row[1 + geo.columns[i]] += sign
-
-    def add(row, o, value, variance):
-        g.append(row)
-        own.append(o)
-        y.append(value)
-        v.append(variance)
-
-    def both(one, two):
-        return one[0] + two[0], one[1] + two[1]
-
-    for i, _, s in geo.ref:
-        if i not in at or not np.isfinite(tref[s]):
-            continue
-        k = at[i]
-        for make, value, variance in ((fw, f[k], vf[k]), (bw, b[k], vb[k])):
-            if np.isfinite(value):
-                row, o = make(i, 1.0)
-                row[0] = 1 / (tref[s] + ZERO_C)
-                add(row, o, value, variance)
-    inside, extra = {r[0] for r in geo.ref}, []
-    for h, t in geo.pairs:
-        if h not in at or t not in at:
-            continue
-        a, c = at[h], at[t]
-        add(*both(fw(h, 1.0), fw(t, -1.0)), f[a] - f[c], vf[a] + vf[c])
-        add(*both(bw(h, 1.0), bw(t, -1.0)), b[a] - b[c], vb[a] + vb[c])
-        extra += [i for i in (h, t) if i not in inside and i not in extra]
-    for i in extra:
-        k = at[i]
-        row, o = both(bw(i, 1.0), fw(i, -1.0))
-        row[2 + n] *= 2
-        add(row / 2, o / 2, (b[k] - f[k]) / 2, vb[k] + vf[k])
-    g, own, y, v = np.array(g).reshape(-1, n + 3), np.array(own).reshape(-1, 2 + 2 * m), np.array(y), np.array(v)
-    y, v = y - g[:, 1 + n], v + g[:, 2 + n]
-    if fixed.gamma is not None:
-        y, v = y - g[:, 0] * fixed.gamma[0], v + g[:, 0] ** 2 * fixed.gamma[1]
-    shared = [*([0] if fixed.gamma is None else []), *(range(1, 1 + n) if fixed.alpha is None else [])]
-    return arrowhead.Rows(g[:, shared], own, y, 1 / v)
+
+    def __init__(self, geo: Geometry, fixed: Fixed, double: bool):
+        self.ix = np.array(geo.needed(), dtype=np.int64)
+        self.double, self.fixed = double, fixed
+        place = {int(i): k for k, i in enumerate(self.ix)}
+        nx, m, n = len(self.ix), len(geo.splices), len(geo.alphas) if double else 2
+        own = 2 + 2 * m if double else 1 + m
+        terms, shared, mine, alpha, section = [], [], [], [], []
+
+        def part(i: int, channel: int, sign: float):
+            """Coefficients of one location's ratio: shared (gamma comes later), own, given attenuation."""
+            g, o, a = np.zeros(n), np.zeros(own), np.zeros(nx)
+            x = geo.x[i]
+            passed = np.array([x >= p if channel == 0 else x < p for p in geo.splices], dtype=float)
+            if double:
+                o[channel] = -sign
+                o[2 + channel * m : 2 + channel * m + m] = -sign * passed
+                a[place[i]] = sign * (1 if channel else -1)
+                if geo.columns[i] >= 0:
+                    g[geo.columns[i]] = a[place[i]]
+            else:
+                o[0], o[1:] = -sign, -sign * passed
+                g[1], a[place[i]] = -sign * x, -sign
+            return channel * nx + place[i], sign, g, o, a
+
+        def add(parts, s: int, scale: float = 1.0, alike: float | None = None):
+            terms.append([(p[0], p[1] * scale, alike) for p in parts])
+            shared.append(sum(p[2] for p in parts) * scale)
+            mine.append(sum(p[3] for p in parts) * scale)
+            alpha.append(sum(p[4] for p in parts) * scale)
+            section.append(s)
+
+        channels = (0, 1) if double else (0,)
+        for i, _, s in geo.ref:
+            for ch in channels:
+                add([part(i, ch, 1.0)], s)
+        inside, extra = {r[0] for r in geo.ref}, []
+        for h, t in geo.pairs:
+            for ch in channels:
+                add([part(h, ch, 1.0), part(t, ch, -1.0)], -1)
+            extra += [i for i in (h, t) if i not in inside and i not in extra]
+        for i in extra if double else []:
+            add([part(i, 1, 1.0), part(i, 0, -1.0)], -1, 0.5, 1.0)
+        rows = len(terms)
+        self.take, self.value, self.spread = np.zeros((2, rows), dtype=np.int64), np.zeros((2, rows)), np.zeros((2, rows))
+        for r, parts in enumerate(terms):
+            for k, (at, c, alike) in enumerate(parts):
+                self.take[k, r], self.value[k, r], self.spread[k, r] = at, c, alike or c * c
+        self.shared, self.mine, self.section = np.array(shared).reshape(rows, n), np.array(mine).reshape(rows, own), np.array(section, dtype=np.int64)
+        if not double and fixed.alpha is None and fixed.dalpha is not None:
+            self.offset, self.extra = self.shared[:, 1] * fixed.dalpha[0], self.shared[:, 1] ** 2 * fixed.dalpha[1]
+        elif fixed.alpha is not None:
+            given = np.array([fixed.alpha[int(i)] for i in self.ix]).reshape(-1, 2)
+            alpha = np.array(alpha).reshape(rows, nx)
+            self.offset, self.extra = alpha @ given[:, 0], alpha**2 @ given[:, 1]
+        else:
+            self.offset = self.extra = np.zeros(rows)
+        free = n if double else 1
+        self.columns = self.shared[:, -free:] if fixed.alpha is None and fixed.dalpha is None else np.zeros((rows, 0))
+
+    def rows(self, r) -> arrowhead.Rows:
+        """The observations of one gathered row; those with anything missing are left out."""
+        nan = np.full(len(self.ix), np.nan)
+        at = np.searchsorted(self.ix, np.asarray(r.ix, dtype=np.int64))
+        values, spreads = [], []
+        for k in range(1 + self.double):
+            v, s = nan.copy(), nan.copy()
+            v[at], s[at] = np.asarray(getattr(r, f"i{k}"), float), np.asarray(getattr(r, f"v{k}"), float)
+            values.append(v)
+            spreads.append(s)
+        v, s = np.concatenate(values), np.concatenate(spreads)
+        two = self.value[1] != 0
+        y = self.value[0] * v[self.take[0]] + np.where(two, self.value[1] * v[self.take[1]], 0.0)
+        var = self.spread[0] * s[self.take[0]] + np.where(two, self.spread[1] * s[self.take[1]], 0.0)
+        tref = np.asarray(r.tref, float)
+        u = np.where(self.section >= 0, 1 / (tref[self.section] + ZERO_C), 0.0) if len(tref) else np.zeros(len(y))
+        y, var = y - self.offset, var + self.extra
+        if self.fixed.gamma is not None:
+            y, var, g = y - u * self.fixed.gamma[0], var + u**2 * self.fixed.gamma[1], self.columns
+        else:
+            g = np.column_stack([u, self.columns])
+        ok = np.isfinite(y) & np.isfinite(var) & (var > 0)
+        return arrowhead.Rows(g[ok], self.mine[ok], y[ok], 1 / var[ok])
 
 
 @dataclass
@@ -242,72 +281,91 @@ class Fit:
         return F.element_at("cross", self.own.index(a) * len(self.shared) + self.shared.index(shared) + 1)
 
 
+def narrow(f: Fit) -> tuple[DataFrame, Callable, Callable, Callable, Callable]:
+    """The own parameters as one narrow row for each time, to be joined to measurements, with columns for value, variance,
+    covariance of two own parameters and covariance with gamma or dalpha. Covariances with attenuations stay behind."""
+    own = f.own
+    cols = {f"_p_{a}": f.own_col(a) for a in own} | {f"_v_{a}": f.own_col(a, "v") for a in own}
+    cols |= {f"_c_{a}_{b}": f.own_cov(a, b) for i, a in enumerate(own) for b in own[i + 1 :]}
+    cols |= {f"_x_{a}_{s}": f.cross_cov(a, s) for a in own for s in ("gamma", "dalpha")}
+    times = f.times.select("time", *[c.alias(k) for k, c in cols.items()])
+
+    def cov(a: str, b: str) -> Column:
+        i, j = sorted((own.index(a), own.index(b)))
+        return F.col(f"_c_{own[i]}_{own[j]}")
+
+    return times, lambda a: F.col(f"_p_{a}"), lambda a: F.col(f"_v_{a}"), cov, lambda a, s: F.col(f"_x_{a}_{s}")
+
+
 TIMES = "time timestamp, p array<double>, v array<double>, cov array<double>, cross array<double>, follow array<double>, normal array<double>"
 
 
 def _gather(meas: DataFrame, series: DataFrame, geo: Geometry, double: bool) -> DataFrame:
     """One row for each time: arrays over the needed locations, and the bath temperatures by section."""
     spark = meas.sparkSession
-    need = sorted({r[0] for r in geo.ref} | {i for p in geo.pairs for i in p})
-    rows = meas.join(F.broadcast(spark.createDataFrame([(i,) for i in need], "ix int")), "ix")
+    rows = meas.join(F.broadcast(spark.createDataFrame([(i,) for i in geo.needed()], "ix int")), "ix")
     chans = [("st", "ast"), ("rst", "rast")][: 1 + double]
-    bad = F.lit(False)
+    bad, vague = F.lit(False), F.lit(False)
     cols = {}
     for k, (a, b) in enumerate(chans):
         bad = bad | (F.col(a) <= 0) | (F.col(b) <= 0)
-        cols |= {f"i{k}": log_ratio(a, b), f"v{k}": F.col(f"{a}_v") / F.col(a) ** 2 + F.col(f"{b}_v") / F.col(b) ** 2}
+        vague = vague | F.col(f"{a}_v").isNull() | F.col(f"{b}_v").isNull()
+        cols |= {f"i{k}": log_ratio(a, b), f"v{k}": F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(f"{a}_v") / F.col(a) ** 2 + F.col(f"{b}_v") / F.col(b) ** 2)}
     item = F.struct("ix", *[F.coalesce(c, F.lit(float("nan"))).alias(n) for n, c in cols.items()])
-    rows = rows.withColumn("_bad", bad)
-    each = rows.withColumns({f"{a}_v": F.when(F.col(a) > 0, F.col(f"{a}_v")) for pair in chans for a in pair}).groupBy("time").agg(F.sort_array(F.collect_list(F.when(~F.col("_bad"), item))).alias("_rows"), F.count_if("_bad").alias("bad"))
-    each = each.join(series.select("time", F.array(*[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in geo.names]).alias("tref")), "time")
+    rows = rows.withColumns({"_bad": F.coalesce(bad, F.lit(False)), "_vague": vague})
+    each = rows.groupBy("time").agg(F.sort_array(F.collect_list(F.when(~F.col("_bad"), item))).alias("_rows"), F.count_if("_bad").alias("bad"), F.count_if("_vague").alias("vague"))
+    each = each.join(series.select("time", F.array(*[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in geo.names]).alias("tref")).dropDuplicates(["time"]), "time")
     pick = lambda n: F.transform("_rows", lambda r: r[n]).alias(n)
-    return each.select("time", "bad", "tref", pick("ix"), *[pick(n) for n in cols])
-
-
-def _rows_of(geo: Geometry, fixed: Fixed, double: bool) -> Callable:
-    if double:
-        return lambda r: double_rows(geo, fixed, np.asarray(r.ix), np.asarray(r.i0, float), np.asarray(r.v0, float), np.asarray(r.i1, float), np.asarray(r.v1, float), np.asarray(r.tref, float))
-    return lambda r: single_rows(geo, fixed, np.asarray(r.ix), np.asarray(r.i0, float), np.asarray(r.v0, float), np.asarray(r.tref, float))
+    return each.select("time", "bad", "vague", "tref", pick("ix"), *[pick(n) for n in cols])
 
 
 def fit(meas: DataFrame, series: DataFrame, geo: Geometry, fixed: Fixed, double: bool) -> Fit:
-    """Weighted least squares; ``meas`` has the variances as ``st_v`` and so on. Intensities that are not positive raise."""
-    gathered = written(_gather(meas, series, geo, double), "reference")
-    make = _rows_of(geo, fixed, double)
+    """Weighted least squares; ``meas`` has the variances as ``st_v`` and so on. In the sections, intensities that are not positive
+    and variances that are missing raise; null intensities are left out. At most ``MOST_SHARED`` parameters can be shared."""
     if double:
-        shared = [*([] if fixed.gamma else ["gamma"]), *([] if fixed.alpha is not None else [f"alpha_{i}" for i in geo.columns])]
+        shared = [*([] if fixed.gamma else ["gamma"]), *([] if fixed.alpha is not None else geo.alphas)]
         own = ["df", "db", *(f"taf_{k}" for k in range(len(geo.splices))), *(f"tab_{k}" for k in range(len(geo.splices)))]
     else:
         shared = [n for n, given in (("gamma", fixed.gamma), ("dalpha", fixed.dalpha or fixed.alpha)) if given is None]
         own = ["c", *(f"taf_{k}" for k in range(len(geo.splices)))]
     n = len(shared)
+    if n > MOST_SHARED:
+        raise ValueError(f"{n} shared parameters, more than {MOST_SHARED}: take shorter or coarser sections")
+    if fixed.alpha is not None and any(i not in fixed.alpha for i in geo.needed()):
+        raise ValueError("the given attenuations lack a location of the sections")
+    gathered = written(_gather(meas, series, geo, double), "reference")
+    design = Design(geo, fixed, double)
 
     def sums(p: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            s, b, rr, obs, times, bad = np.zeros((n, n)), np.zeros(n), 0.0, 0, 0, 0
+            s, b, rest = np.zeros((n, n)), np.zeros(n), np.zeros(6)
             for batch in batches:
                 for r in batch.itertuples(index=False):
-                    rows = make(r)
-                    ds, db, drr, dn = arrowhead.partial(rows, p)
-                    s, b, rr, obs, times, bad = s + ds, b + db, rr + drr, obs + dn, times + (dn > 0), bad + r.bad
-            if times or bad:
-                yield pd.DataFrame({"k": np.arange(n * n + n + 4), "v": np.concatenate([s.ravel(), b, [rr, obs, times, bad]])})
+                    ds, db, drr, dn, rank = arrowhead.partial(design.rows(r), p)
+                    s, b, rest = s + ds, b + db, rest + [drr, dn, dn > 0, rank, r.bad, r.vague]
+            if rest.any():
+                yield pd.DataFrame({"k": np.arange(n + 1), "v": [*np.column_stack([s, b]), rest]})
 
-        # one row for each entry of the small system
-        out = {r.k: r.v for r in gathered.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        flat = np.array([out.get(k, 0.0) for k in range(n * n + n + 4)])
-        return flat[: n * n].reshape(n, n), flat[n * n : n * n + n], *flat[n * n + n :]
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": rows["k"].iloc[:1], "v": [np.sum(np.stack(list(rows["v"])), axis=0)]})
+
+        # one row for each row of the small system, summed on the executors
+        out = {r.k: r.v for r in gathered.mapInPandas(run, "k int, v array<double>").groupBy("k").applyInPandas(add, "k int, v array<double>").collect()}
+        both = np.array([out.get(k, np.zeros(n + 1)) for k in range(n)]).reshape(n, n + 1)
+        return both[:, :n], both[:, n], *out.get(n, np.zeros(6))
 
     p = np.zeros(n)
     for _ in range(2):  # the second round refines the first
-        s, b, rr, obs, n_times, bad = sums(p)
+        s, b, rr, obs, n_times, ranks, bad, vague = sums(p)
         if bad:
             raise ValueError("intensities in the sections must be positive")
+        if vague:
+            raise ValueError("variances in the sections must be positive and finite")
         if not obs:
             raise ValueError("no reference observations")
-        step, inverse = arrowhead.solve(s, b)
+        step, inverse, rank = arrowhead.solve(s, b)
         p, rr = p + step, rr - float(b @ step)
-    free = obs - n - len(own) * n_times
+    free = obs - rank - ranks
     err = max(rr, 0.0) / free if free > 0 else float("nan")
     cov = inverse * err
 
@@ -315,7 +373,7 @@ def fit(meas: DataFrame, series: DataFrame, geo: Geometry, fixed: Fixed, double:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                value, c, cross, follow, normal = arrowhead.own(make(r), p, cov, err)
+                value, c, cross, follow, normal = arrowhead.own(design.rows(r), p, cov, err)
                 out.append((r.time, value, np.diag(c), c.ravel(), cross.ravel(), follow.ravel(), normal.ravel()))
             yield pd.DataFrame(out, columns=["time", "p", "v", "cov", "cross", "follow", "normal"])
 
@@ -356,53 +414,86 @@ def _given(fix_alpha: DataFrame) -> dict:
     return {r.ix: (r.alpha, r.alpha_var) for r in rows}
 
 
-def calibrate_single(meas: DataFrame, series: DataFrame, sections: DataFrame, st_var: Variance, ast_var: Variance, matching: list | None = None, trans_att: list[float] = (), fix_gamma: tuple[float, float] | None = None, fix_dalpha: tuple[float, float] | None = None, fix_alpha: DataFrame | None = None) -> Result:
+def calibrate_single(meas: DataFrame, series: DataFrame, sections: DataFrame, st_var: Variance, ast_var: Variance, matching: list | None = None, trans_att: list[float] = (), fix_gamma: tuple[float, float] | None = None, fix_dalpha: tuple[float, float] | None = None, fix_alpha: DataFrame | None = None, external: External | None = None, check: bool = True) -> Result:
     """Temperatures ``tmpf`` with ``tmpf_var`` and its components (``dT_*`` and covariances) of a single-ended set-up.
 
     ``fix_alpha(ix, alpha, alpha_var)`` gives the integrated attenuation of every location and excludes ``fix_dalpha`` and
-    matching sections. Rows of ``meas`` whose time has no reference rows give no temperature; null or non-positive
-    intensities outside the sections give a null one.
+    matching sections. ``external`` gives all parameters instead of a fit. Rows of ``meas`` whose time has no reference
+    rows give no temperature; null or non-positive intensities outside the sections give a null one.
     """
     if fix_alpha is not None and (fix_dalpha is not None or matching):
         raise ValueError("given attenuations exclude a given dalpha and matching sections")
     rows = with_variance(with_variance(meas, "st", st_var), "ast", ast_var)
-    geo = geometry(meas, sections, matching, list(trans_att), False)
+    geo = geometry(meas, sections, matching, list(trans_att), False, series, check)
+    if external is not None:
+        return single_temperatures(rows, external.fit(meas.sparkSession, geo, False))
     given = _given(fix_alpha) if fix_alpha is not None else None
     return single_temperatures(rows, fit(rows, series, geo, Fixed(fix_gamma, fix_dalpha, given), False), fix_alpha)
 
 
+@dataclass
+class External:
+    """Parameters from elsewhere. ``p`` has each own parameter by time (``time, c, taf_0, ...`` or ``time, df, db, taf_0, ..., tab_0, ...``),
+    ``shared`` the value and variance of gamma and dalpha, double-ended also of ``alpha_<ix>`` at the reference locations; ``p``'s
+    columns ``<name>_var`` are variances (0 if absent). Covariances between parameters are taken as 0."""
+
+    shared: dict[str, tuple[float, float]]
+    p: DataFrame
+
+    def fit(self, spark, geo: Geometry, double: bool) -> Fit:
+        m = range(len(geo.splices))
+        shared = ["gamma", *geo.alphas] if double else ["gamma", "dalpha"]
+        own = ["df", "db", *(f"taf_{k}" for k in m), *(f"tab_{k}" for k in m)] if double else ["c", *(f"taf_{k}" for k in m)]
+        missing = [n for n in shared if n not in self.shared] + [n for n in own if n not in self.p.columns]
+        if missing:
+            raise ValueError(f"the given parameters lack {missing}")
+        var = [F.col(f"{n}_var").cast("double") if f"{n}_var" in self.p.columns else F.lit(0.0) for n in own]
+        cov = F.array(*[var[i] if i == j else F.lit(0.0) for i in range(len(own)) for j in range(len(own))])
+        none = F.array_repeat(F.lit(0.0), len(own) * len(shared))
+        times = self.p.select("time", F.array(*[F.col(n).cast("double") for n in own]).alias("p"), F.array(*var).alias("v"), cov.alias("cov"), none.alias("cross"), none.alias("follow"), cov.alias("normal"))
+        values = np.array([self.shared[n] for n in shared], dtype=float).reshape(-1, 2)
+        return Fit(shared, own, values[:, 0], np.diag(values[:, 1]), float("nan"), times, geo, Fixed(), double, times.count())
+
+
 def single_temperatures(rows: DataFrame, f: Fit, fix_alpha: DataFrame | None = None) -> Result:
     gamma, gamma_var = f.get("gamma")
-    joined = rows.join(f.times, "time")
+    times, p, v, own_cov, cross = narrow(f)
+    joined = rows.join(times, "time")
+    spark = rows.sparkSession
     if fix_alpha is not None:
-        joined = joined.join(F.broadcast(fix_alpha.select("ix", F.col("alpha").alias("_a"), F.col("alpha_var").alias("_av"))), "ix")
-        dalpha_var = 0.0
+        given = spark.createDataFrame([(ix, float(a), float(b)) for ix, (a, b) in f.fixed.alpha.items()], "ix int, _a double, _av double")  # at most MOST_LOCATIONS rows
+        joined = joined.join(F.broadcast(given), "ix")
     else:
         dalpha, dalpha_var = f.get("dalpha")
         joined = joined.withColumns({"_a": F.col("x") * dalpha, "_av": F.col("x") ** 2 * dalpha_var})
     sp = f.geo.splices
-    ta = _shadow(sp, lambda k: f.own_col(f"taf_{k}"), True)
+    ta = _shadow(sp, lambda k: p(f"taf_{k}"), True)
     lr = log_ratio("st", "ast")
-    joined = joined.withColumn("_t", gamma / (lr + f.own_col("c") + F.col("_a") + ta))
+    joined = joined.withColumn("_t", gamma / (lr + p("c") + F.col("_a") + ta))
     t = F.col("_t")
     d_g, d_c = t / gamma, -(t**2) / gamma
-    cov = lambda a, b: f.cov[f.shared.index(a), f.shared.index(b)] if a in f.shared and b in f.shared else 0.0
+    cov = lambda a, b: float(f.cov[f.shared.index(a), f.shared.index(b)]) if a in f.shared and b in f.shared else 0.0
     parts = {
-        "dT_dst": (d_c / F.col("st")) ** 2 * F.col("st_v"), "dT_dast": (d_c / F.col("ast")) ** 2 * F.col("ast_v"), "dT_dgamma": d_g**2 * gamma_var, "dT_dc": d_c**2 * f.own_col("c", "v"), "dT_dalpha": d_c**2 * F.col("_av"),
-        "dT_dta": d_c**2 * _shadow(sp, lambda k: f.own_col(f"taf_{k}", "v"), True), "dgamma_dc": 2 * d_g * d_c * f.cross_cov("c", "gamma"),
-        "dta_dgamma": 2 * d_c * d_g * _shadow(sp, lambda k: f.cross_cov(f"taf_{k}", "gamma"), True), "dta_dc": 2 * d_c**2 * _shadow(sp, lambda k: f.own_cov(f"taf_{k}", "c"), True),
+        "dT_dst": (d_c / F.col("st")) ** 2 * F.col("st_v"), "dT_dast": (d_c / F.col("ast")) ** 2 * F.col("ast_v"), "dT_dgamma": d_g**2 * gamma_var, "dT_dc": d_c**2 * v("c"), "dT_dalpha": d_c**2 * F.col("_av"),
+        "dT_dta": d_c**2 * _shadow(sp, lambda k: v(f"taf_{k}"), True), "dgamma_dc": 2 * d_g * d_c * cross("c", "gamma"),
+        "dta_dgamma": 2 * d_c * d_g * _shadow(sp, lambda k: cross(f"taf_{k}", "gamma"), True), "dta_dc": 2 * d_c**2 * _shadow(sp, lambda k: own_cov(f"taf_{k}", "c"), True),
     }
     if fix_alpha is None:
         d_d = F.col("x") * d_c
-        parts |= {"dgamma_ddalpha": 2 * d_g * d_d * cov("gamma", "dalpha"), "ddalpha_dc": 2 * d_d * d_c * f.cross_cov("c", "dalpha"), "dta_ddalpha": 2 * d_c * d_d * _shadow(sp, lambda k: f.cross_cov(f"taf_{k}", "dalpha"), True)}
-    joined = joined.withColumns(parts).withColumns({"tmpf": t - ZERO_C, "tmpf_var": sum((F.col(k) for k in parts), F.lit(0.0))})
+        parts |= {"dgamma_ddalpha": 2 * d_g * d_d * cov("gamma", "dalpha"), "ddalpha_dc": 2 * d_d * d_c * cross("c", "dalpha"), "dta_ddalpha": 2 * d_c * d_d * _shadow(sp, lambda k: cross(f"taf_{k}", "dalpha"), True)}
+    joined = joined.withColumn("talpha_fw_full", ta).withColumns(parts).withColumns({"tmpf": t - ZERO_C, "tmpf_var": sum((F.col(k) for k in parts), F.lit(0.0))})
     keep = [c for c in rows.columns if c not in parts]
-    params_t = f.times.select("time", f.own_col("c").alias("c"), f.own_col("c", "v").alias("c_var"), f.cross_cov("c", "gamma").alias("gamma_c"), f.cross_cov("c", "dalpha").alias("dalpha_c"), F.slice("p", 2, max(len(sp), 1)).alias("talpha_fw"), F.slice("v", 2, max(len(sp), 1)).alias("talpha_fw_var"))
-    params_x = joined.groupBy("ix", "x").agg(F.first("_a").alias("alpha"), F.first("_av").alias("alpha_var"))
-    return Result(joined.select(*keep, "tmpf", "tmpf_var", *parts), params_t, params_x, f)
+    losses = F.array(*[p(f"taf_{k}") for k in range(len(sp))]).cast("array<double>"), F.array(*[v(f"taf_{k}") for k in range(len(sp))]).cast("array<double>")
+    params_t = times.select("time", p("c").alias("c"), v("c").alias("c_var"), cross("c", "gamma").alias("gamma_c"), cross("c", "dalpha").alias("dalpha_c"), losses[0].alias("talpha_fw"), losses[1].alias("talpha_fw_var"))
+    if fix_alpha is not None:
+        where = [(ix, x, *map(float, f.fixed.alpha[ix])) for ix, x in f.geo.x.items() if ix in f.fixed.alpha]
+    else:
+        where = [(ix, x, x * dalpha, x**2 * dalpha_var) for ix, x in f.geo.x.items()]
+    params_x = spark.createDataFrame(where, "ix int, x double, alpha double, alpha_var double")
+    return Result(joined.select(*keep, "tmpf", "tmpf_var", "talpha_fw_full", *parts), params_t, params_x, f)
 
 
-def calibrate_double(meas: DataFrame, series: DataFrame, sections: DataFrame, st_var: Variance, ast_var: Variance, rst_var: Variance, rast_var: Variance, matching: list | None = None, trans_att: list[float] = (), fix_gamma: tuple[float, float] | None = None, fix_alpha: DataFrame | None = None) -> Result:
+def calibrate_double(meas: DataFrame, series: DataFrame, sections: DataFrame, st_var: Variance, ast_var: Variance, rst_var: Variance, rast_var: Variance, matching: list | None = None, trans_att: list[float] = (), fix_gamma: tuple[float, float] | None = None, fix_alpha: DataFrame | None = None, external: External | None = None, check: bool = True) -> Result:
     """Temperatures ``tmpf``, ``tmpb`` and their weighted mean ``tmpw`` with variances of a double-ended set-up.
 
     Besides ``tmp*_var``: ``tmpw_var_approx`` (from the two variances alone), ``tmpw_var_lower`` (noise only), and all components with
@@ -412,7 +503,9 @@ def calibrate_double(meas: DataFrame, series: DataFrame, sections: DataFrame, st
     rows = meas
     for label, var in (("st", st_var), ("ast", ast_var), ("rst", rst_var), ("rast", rast_var)):
         rows = with_variance(rows, label, var)
-    geo = geometry(meas, sections, matching, list(trans_att), True)
+    geo = geometry(meas, sections, matching, list(trans_att), True, series, check)
+    if external is not None:
+        return double_temperatures(rows, external.fit(meas.sparkSession, geo, True))
     given = _given(fix_alpha) if fix_alpha is not None else None
     f = fit(rows, series, geo, Fixed(fix_gamma, None, given), True)
     return double_temperatures(rows, f, fix_alpha)
@@ -421,42 +514,60 @@ def calibrate_double(meas: DataFrame, series: DataFrame, sections: DataFrame, st
 def alpha_everywhere(rows: DataFrame, f: Fit) -> DataFrame:
     """``(ix, x, alpha, alpha_var)`` by the inverse-variance mean over time, for any location."""
     sp = f.geo.splices
-    taf, tab = (lambda c: _shadow(sp, lambda k: f.own_col(f"taf_{k}", c), True)), (lambda c: _shadow(sp, lambda k: f.own_col(f"tab_{k}", c), False))
-    a = (log_ratio("rst", "rast") - log_ratio("st", "ast") + f.own_col("db") - f.own_col("df") + tab("p") - taf("p")) / 2
+    times, p, var, _, _ = narrow(f)
+    taf, tab = (lambda c: _shadow(sp, lambda k: c(f"taf_{k}"), True)), (lambda c: _shadow(sp, lambda k: c(f"tab_{k}"), False))
+    a = (log_ratio("rst", "rast") - log_ratio("st", "ast") + p("db") - p("df") + tab(p) - taf(p)) / 2
     noise = sum((F.col(f"{c}_v") / F.col(c) ** 2 for c in ("st", "ast", "rst", "rast")), F.lit(0.0))
-    v = (noise + f.own_col("df", "v") + f.own_col("db", "v") + taf("v") + tab("v")) / 2
-    good = rows.filter("st > 0 AND ast > 0 AND rst > 0 AND rast > 0").join(f.times, "time").select("ix", "x", a.alias("_a"), v.alias("_v"))
+    v = (noise + var("df") + var("db") + taf(var) + tab(var)) / 2
+    good = rows.filter("st > 0 AND ast > 0 AND rst > 0 AND rast > 0").join(times, "time").select("ix", "x", a.alias("_a"), v.alias("_v"))
     return good.groupBy("ix", "x").agg((F.sum(F.col("_a") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("alpha"), (1 / F.sum(1 / F.col("_v"))).alias("alpha_var"))
 
 
+def _alpha_cross(f: Fit) -> DataFrame:
+    """``(time, ix, _k_<own>...)``: covariance of each own parameter with the attenuation of each fitted location."""
+    n = len(f.shared)
+    fitted = [(ix, f.shared.index(f.geo.alphas[k])) for ix, k in f.geo.columns.items() if k >= 0]
+    item = lambda ix, at: F.struct(F.lit(ix).cast("int").alias("ix"), *[F.element_at("cross", i * n + at + 1).alias(f"_k_{a}") for i, a in enumerate(f.own)])
+    if len(fitted) <= 200:
+        return f.times.select("time", F.explode(F.array(*[item(ix, at) for ix, at in fitted])).alias("_e")).select("time", "_e.*")
+    places = f.times.sparkSession.createDataFrame(fitted, "ix int, _at int")  # at most MOST_SHARED columns' locations
+    both = f.times.select("time", "cross").join(F.broadcast(places))
+    return both.select("time", "ix", *[F.element_at("cross", F.col("_at") + (i * n + 1)).alias(f"_k_{a}") for i, a in enumerate(f.own)])
+
+
 def double_temperatures(rows: DataFrame, f: Fit, fix_alpha: DataFrame | None = None) -> Result:
-    spark, geo, n = rows.sparkSession, f.geo, len(f.shared)
+    spark, geo = rows.sparkSession, f.geo
     gamma, gamma_var = f.get("gamma")
     if fix_alpha is not None:
-        params_x = fix_alpha.select("ix", F.col("alpha").cast("double").alias("alpha"), F.col("alpha_var").cast("double").alias("alpha_var"), F.lit(0).alias("_at"), F.lit(0.0).alias("gamma_alpha"))
-        params_x = params_x.join(rows.select("ix", "x").distinct(), "ix")
+        where = [(ix, x, *map(float, f.fixed.alpha[ix]), 0.0) for ix, x in geo.x.items() if ix in f.fixed.alpha]
+        params_x = spark.createDataFrame(where, "ix int, x double, alpha double, alpha_var double, gamma_alpha double")
     else:
-        known = [(geo.zero, 0.0, 0.0, 0, 0.0)]
+        known = []
         g = f.shared.index("gamma") if "gamma" in f.shared else None
-        for ix in geo.columns:
-            k = f.shared.index(f"alpha_{ix}")
-            known.append((ix, float(f.value[k]), float(f.cov[k, k]), k + 1, float(f.cov[g, k]) if g is not None else 0.0))
-        fitted = spark.createDataFrame(known, "ix int, _alpha double, _alpha_var double, _at int, gamma_alpha double")
-        params_x = alpha_everywhere(rows, f).join(F.broadcast(fitted), "ix", "left").select("ix", "x", F.coalesce("_alpha", "alpha").alias("alpha"), F.coalesce("_alpha_var", "alpha_var").alias("alpha_var"), F.coalesce("_at", F.lit(0)).alias("_at"), F.coalesce("gamma_alpha", F.lit(0.0)).alias("gamma_alpha"))
-    params_x = written(params_x, "params_x")
+        for ix, col in geo.columns.items():
+            k = f.shared.index(geo.alphas[col]) if col >= 0 else None
+            known.append((ix, float(f.value[k]), float(f.cov[k, k]), float(f.cov[g, k]) if g is not None else 0.0) if k is not None else (ix, 0.0, 0.0, 0.0))
+        fitted = spark.createDataFrame(known, "ix int, _alpha double, _alpha_var double, gamma_alpha double")
+        params_x = alpha_everywhere(rows, f).join(F.broadcast(fitted), "ix", "left").select("ix", "x", F.coalesce("_alpha", "alpha").alias("alpha"), F.coalesce("_alpha_var", "alpha_var").alias("alpha_var"), F.coalesce("gamma_alpha", F.lit(0.0)).alias("gamma_alpha"))
+        params_x = written(params_x, "params_x")
     sp = geo.splices
-    joined = rows.join(f.times, "time").join(F.broadcast(params_x.drop("x")), "ix")  # as many rows as locations, see geometry
-    fwd, bwd = (lambda c: _shadow(sp, lambda k: c(f"taf_{k}"), True)), (lambda c: _shadow(sp, lambda k: c(f"tab_{k}"), False))
+    times, p, v, own_cov, cross = narrow(f)
+    joined = rows.join(times, "time").join(F.broadcast(params_x.drop("x")), "ix")  # as many rows as locations, see geometry
     # covariance with the location's attenuation, which only fitted locations have
-    with_alpha = lambda name: F.when(F.col("_at") > 0, F.element_at("cross", F.greatest(F.col("_at"), F.lit(1)) + f.own.index(name) * n)).otherwise(0.0) if n else F.lit(0.0)
+    if fix_alpha is None and geo.alphas:
+        joined = joined.join(_alpha_cross(f), ["time", "ix"], "left")
+        with_alpha = lambda name: F.coalesce(F.col(f"_k_{name}"), F.lit(0.0))
+    else:
+        with_alpha = lambda name: F.lit(0.0)
+    fwd, bwd = (lambda c: _shadow(sp, lambda k: c(f"taf_{k}"), True)), (lambda c: _shadow(sp, lambda k: c(f"tab_{k}"), False))
     alpha = F.col("alpha")
     joined = joined.withColumns({
-        "_tf": gamma / (log_ratio("st", "ast") + f.own_col("df") + alpha + fwd(f.own_col)), "_tb": gamma / (log_ratio("rst", "rast") + f.own_col("db") - alpha + bwd(f.own_col)),
-        "_df_v": f.own_col("df", "v"), "_db_v": f.own_col("db", "v"), "_ta_f": fwd(lambda c: f.own_col(c, "v")), "_ta_b": bwd(lambda c: f.own_col(c, "v")),
-        "_g_df": f.cross_cov("df", "gamma"), "_g_db": f.cross_cov("db", "gamma"), "_a_df": with_alpha("df"), "_a_db": with_alpha("db"), "_df_db": f.own_cov("df", "db"),
-        "_g_taf": fwd(lambda c: f.cross_cov(c, "gamma")), "_g_tab": bwd(lambda c: f.cross_cov(c, "gamma")), "_a_taf": fwd(with_alpha), "_a_tab": bwd(with_alpha),
-        "_df_taf": fwd(lambda c: f.own_cov("df", c)), "_db_tab": bwd(lambda c: f.own_cov("db", c)), "_df_tab": bwd(lambda c: f.own_cov("df", c)), "_db_taf": fwd(lambda c: f.own_cov("db", c)),
-    }).drop("p", "v", "cov", "cross", "follow", "normal")
+        "_tf": gamma / (log_ratio("st", "ast") + p("df") + alpha + fwd(p)), "_tb": gamma / (log_ratio("rst", "rast") + p("db") - alpha + bwd(p)), "talpha_fw_full": fwd(p), "talpha_bw_full": bwd(p),
+        "_df_v": v("df"), "_db_v": v("db"), "_ta_f": fwd(v), "_ta_b": bwd(v),
+        "_g_df": cross("df", "gamma"), "_g_db": cross("db", "gamma"), "_a_df": with_alpha("df"), "_a_db": with_alpha("db"), "_df_db": own_cov("df", "db"),
+        "_g_taf": fwd(lambda c: cross(c, "gamma")), "_g_tab": bwd(lambda c: cross(c, "gamma")), "_a_taf": fwd(with_alpha), "_a_tab": bwd(with_alpha),
+        "_df_taf": fwd(lambda c: own_cov("df", c)), "_db_tab": bwd(lambda c: own_cov("db", c)), "_df_tab": bwd(lambda c: own_cov("df", c)), "_db_taf": fwd(lambda c: own_cov("db", c)),
+    })
     c = F.col
     tf, tb = c("_tf"), c("_tb")
     df_, db_ = -(tf**2) / gamma, -(tb**2) / gamma  # derivative to df, forward attenuation and loss; to db and backward loss
@@ -483,8 +594,13 @@ def double_temperatures(rows: DataFrame, f: Fit, fix_alpha: DataFrame | None = N
     }
     joined = joined.withColumns({f"w_{k}": v for k, v in w.items()})
     joined = joined.withColumns({"tmpf": tf - ZERO_C, "tmpb": tb - ZERO_C, "tmpw": c("_wf") * tf + c("_wb") * tb - ZERO_C, "tmpw_var": total("w", w)})
-    keep = [*rows.columns, "tmpf", "tmpb", "tmpw", "tmpf_var", "tmpb_var", "tmpw_var", "tmpw_var_approx", "tmpw_var_lower"]
-    m = len(sp)
-    params_t = f.times.select("time", f.own_col("df").alias("df"), f.own_col("db").alias("db"), f.own_col("df", "v").alias("df_var"), f.own_col("db", "v").alias("db_var"), f.cross_cov("df", "gamma").alias("gamma_df"), f.cross_cov("db", "gamma").alias("gamma_db"), f.own_cov("df", "db").alias("df_db"), F.slice("p", 3, max(m, 1)).alias("talpha_fw"), F.slice("p", 3 + m, max(m, 1)).alias("talpha_bw"))
+    keep = [*rows.columns, "tmpf", "tmpb", "tmpw", "tmpf_var", "tmpb_var", "tmpw_var", "tmpw_var_approx", "tmpw_var_lower", "talpha_fw_full", "talpha_bw_full"]
+    m = range(len(sp))
+    listed = lambda of, d: F.array(*[of(f"ta{d}_{k}") for k in m]).cast("array<double>")
+    params_t = times.select(
+        "time", p("df").alias("df"), p("db").alias("db"), v("df").alias("df_var"), v("db").alias("db_var"), cross("df", "gamma").alias("gamma_df"), cross("db", "gamma").alias("gamma_db"), own_cov("df", "db").alias("df_db"),
+        *[listed(p, d[0]).alias(f"talpha_{d}") for d in ("fw", "bw")], *[listed(v, d[0]).alias(f"talpha_{d}_var") for d in ("fw", "bw")],
+        *[listed(lambda c: cross(c, "gamma"), d[0]).alias(f"ta{d}_gamma") for d in ("fw", "bw")], *[listed(lambda c, o=o: own_cov(o, c), d[0]).alias(f"ta{d}_{o}") for d in ("fw", "bw") for o in ("df", "db")],
+    )
     parts = [*(f"fw_{k}" for k in fw), *(f"bw_{k}" for k in bw), *(f"w_{k}" for k in w)]
     return Result(joined.select(*keep, *parts), params_t, params_x, f)
