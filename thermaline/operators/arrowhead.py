@@ -67,6 +67,15 @@ def own(rows: Rows, p: np.ndarray, cov: np.ndarray, err: float) -> tuple[np.ndar
     return value, normal * err - cross @ follow.T, cross, follow, normal * err
 
 
+def root(cov: np.ndarray) -> np.ndarray:
+    """Lower triangular root of a covariance matrix, by eigenvectors where it is singular."""
+    try:
+        return np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(cov)
+        return np.linalg.qr((vectors * np.sqrt(np.maximum(values, 0.0))).T)[1].T
+
+
 def dense(blocks: list[Rows]) -> tuple[np.ndarray, np.ndarray, float]:
     """The same problem as one matrix: parameters (shared, then each time's), covariance and error variance. For tests."""
     ng, nl, n = blocks[0].g.shape[1], blocks[0].l.shape[1], len(blocks)

@@ -244,8 +244,9 @@ class Design:
 class Fit:
     """Shared parameters with covariance, and each time's own.
 
-    ``times`` has ``time, p, v, cov, cross, follow, normal``: own parameters, their variances, covariance matrix and covariance
-    with the shared ones, row by row, and what sampling needs. Names give the places.
+    ``times`` has ``time, p, v, cov, cross, follow, root``: own parameters, their variances, covariance matrix and covariance
+    with the shared ones, row by row; for sampling, how they fall as the shared ones rise and a root of their covariance at given
+    shared ones. Names give the places.
     """
 
     shared: list[str]
@@ -267,6 +268,25 @@ class Fit:
         k = self.shared.index(name)
         return float(self.value[k]), float(self.cov[k, k])
 
+    def p_val(self) -> DataFrame:
+        """``(name, time, value, var)`` of all fitted parameters; time is null for shared ones."""
+        spark = self.times.sparkSession
+        rows = [(n, None, float(self.value[k]), float(self.cov[k, k])) for k, n in enumerate(self.shared)]
+        shared = spark.createDataFrame(rows, "name string, time timestamp, value double, var double")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), self.own_col(n).alias("value"), self.own_col(n, "v").alias("var")) for n in self.own]))
+        return shared.unionByName(self.times.select("time", each.alias("_e")).select("_e.name", "time", "_e.value", "_e.var"))
+
+    def p_cov(self) -> DataFrame:
+        """``(name, other, time, cov)`` of the shared parameters, of each time's own, and of own with shared ones; own parameters
+        of different times are left out, as no result needs them."""
+        spark, n, m = self.times.sparkSession, len(self.shared), len(self.own)
+        rows = [(a, b, None, float(self.cov[i, j])) for i, a in enumerate(self.shared) for j, b in enumerate(self.shared)]
+        shared = spark.createDataFrame(rows, "name string, other string, time timestamp, cov double")
+        names = [(a, b) for a in self.own for b in self.own] + [(a, b) for a in self.own for b in self.shared]
+        listed = F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("other")) for a, b in names])
+        own = self.times.select("time", F.posexplode(F.concat(F.slice("cov", 1, m * m), F.slice("cross", 1, m * n))).alias("_k", "cov"))
+        return shared.unionByName(own.select(F.get(listed, F.col("_k")).alias("_n"), "time", "cov").select("_n.name", "_n.other", "time", "cov"))
+
     def own_col(self, name: str, column: str = "p") -> Column:
         return F.element_at(column, self.own.index(name) + 1)
 
@@ -297,7 +317,7 @@ def narrow(f: Fit) -> tuple[DataFrame, Callable, Callable, Callable, Callable]:
     return times, lambda a: F.col(f"_p_{a}"), lambda a: F.col(f"_v_{a}"), cov, lambda a, s: F.col(f"_x_{a}_{s}")
 
 
-TIMES = "time timestamp, p array<double>, v array<double>, cov array<double>, cross array<double>, follow array<double>, normal array<double>"
+TIMES = "time timestamp, p array<double>, v array<double>, cov array<double>, cross array<double>, follow array<double>, root array<double>"
 
 
 def _gather(meas: DataFrame, series: DataFrame, geo: Geometry, double: bool) -> DataFrame:
@@ -374,8 +394,8 @@ def fit(meas: DataFrame, series: DataFrame, geo: Geometry, fixed: Fixed, double:
             out = []
             for r in batch.itertuples(index=False):
                 value, c, cross, follow, normal = arrowhead.own(design.rows(r), p, cov, err)
-                out.append((r.time, value, np.diag(c), c.ravel(), cross.ravel(), follow.ravel(), normal.ravel()))
-            yield pd.DataFrame(out, columns=["time", "p", "v", "cov", "cross", "follow", "normal"])
+                out.append((r.time, value, np.diag(c), c.ravel(), cross.ravel(), follow.ravel(), arrowhead.root(normal).ravel()))
+            yield pd.DataFrame(out, columns=["time", "p", "v", "cov", "cross", "follow", "root"])
 
     times = written(gathered.mapInPandas(local, TIMES), "times")
     return Fit(shared, own, p, cov, err, times, geo, fixed, double, int(n_times))
@@ -450,7 +470,7 @@ class External:
         var = [F.col(f"{n}_var").cast("double") if f"{n}_var" in self.p.columns else F.lit(0.0) for n in own]
         cov = F.array(*[var[i] if i == j else F.lit(0.0) for i in range(len(own)) for j in range(len(own))])
         none = F.array_repeat(F.lit(0.0), len(own) * len(shared))
-        times = self.p.select("time", F.array(*[F.col(n).cast("double") for n in own]).alias("p"), F.array(*var).alias("v"), cov.alias("cov"), none.alias("cross"), none.alias("follow"), cov.alias("normal"))
+        times = self.p.select("time", F.array(*[F.col(n).cast("double") for n in own]).alias("p"), F.array(*var).alias("v"), cov.alias("cov"), none.alias("cross"), none.alias("follow"), F.transform(cov, F.sqrt).alias("root"))
         values = np.array([self.shared[n] for n in shared], dtype=float).reshape(-1, 2)
         return Fit(shared, own, values[:, 0], np.diag(values[:, 1]), float("nan"), times, geo, Fixed(), double, times.count())
 

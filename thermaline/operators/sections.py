@@ -148,3 +148,11 @@ def describe(meas: DataFrame, series: DataFrame, sections: DataFrame, label: str
 def series_keys(series: DataFrame) -> list[str]:
     """Names of the numeric columns of a time series."""
     return [f.name for f in series.schema.fields if f.name != "time" and isinstance(f.dataType, T.NumericType)]
+
+
+def fitted_locations(locations: DataFrame, sections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(ix)``: locations of the sections and of matched pairs, without the first of the sections."""
+    inside = members(locations.select("ix", "x"), sections).select("ix")
+    every = inside.unionByName(pairs.select(F.col("head_ix").alias("ix"))).unionByName(pairs.select(F.col("tail_ix").alias("ix"))).distinct()
+    first = members(locations.select("ix", "x"), sections).agg(F.min_by("ix", "x").alias("ix"))
+    return every.join(F.broadcast(first), "ix", "left_anti")  # one row
