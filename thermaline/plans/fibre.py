@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thermaline.operators import alignment, noise, reports, resampling, sampling
 from thermaline.operators import sections as sec
-from thermaline.operators.calibration import calibrate_double, calibrate_single, with_variance
+from thermaline.operators.calibration import External, calibrate_double, calibrate_single, with_variance
 from thermaline.session import table
 
 # Constants of the fixtures' physics.
@@ -225,7 +225,7 @@ def slice_inclusive(spark, sf_dir):
     return meas.filter(resampling.between("x", 10.0, 24.0)).select("ix", quarter(), r("st", 4))
 
 
-@query("select_by_place", f"WITH {_GRID}, o AS (SELECT quarter, row_number() OVER (ORDER BY quarter) AS k, count(*) OVER () AS n FROM s) SELECT ix, CAST(g.quarter AS BIGINT) AS quarter, round(st, 4) + 0.0 AS st FROM g JOIN o ON g.quarter = o.quarter WHERE k IN (1, 4, n)")
+@query("select_by_place", f"WITH {_GRID}, o AS (SELECT quarter, row_number() OVER (ORDER BY quarter) AS k, count(*) OVER () AS last FROM s) SELECT ix, CAST(g.quarter AS BIGINT) AS quarter, round(st, 4) + 0.0 AS st FROM g JOIN o ON g.quarter = o.quarter WHERE k IN (1, 4, last)")
 def select_by_place(spark, sf_dir):
     meas, _ = grid(spark, sf_dir)
     return resampling.select_ordinals(meas, "time", [0, 3, -1]).select("ix", quarter(), r("st", 4))
@@ -243,10 +243,10 @@ def scale_where(spark, sf_dir):
     return resampling.scale_where(meas, "st", F.col("x") < 50, 0.8).select("ix", quarter(), r("st", 4))
 
 
-@query("whole_locations", f"WITH {_GRID} SELECT ix, CAST(quarter AS BIGINT) AS quarter, n FROM g WHERE ix NOT IN (SELECT ix FROM g WHERE n < 70)")
+@query("whole_locations", f"WITH {_GRID} SELECT ix, CAST(quarter AS BIGINT) AS quarter, n FROM g WHERE ix NOT IN (SELECT ix FROM g WHERE n < 17)")
 def whole_locations(spark, sf_dir):
     meas, _ = grid(spark, sf_dir)
-    gaps = meas.withColumn("v", F.when(F.col("n") >= 70, F.col("st")))
+    gaps = meas.withColumn("v", F.when(F.col("n") >= 17, F.col("st")))
     return alignment.whole_locations(gaps, ["v"]).select("ix", quarter(), "n")
 
 
@@ -464,6 +464,341 @@ def single_locations(spark, sf_dir):
     return _single(spark, sf_dir).params_x.select("ix", r(F.col("alpha") * 1e6, 4, "alpha_e6"))
 
 
+
+# double-ended calibration
+
+
+def _double_vars() -> list:
+    return [lambda s: s * VAR["st"], lambda s: s * VAR["ast"]] * 2
+
+
+def _double(spark, sf_dir, noisy=True, **kw):
+    meas, series = trace(spark, sf_dir, noisy)
+    return calibrate_double(meas.drop("temp"), series, sec.sections_frame(spark, SECTIONS), *_double_vars(), **kw)
+
+
+@query("double_exact", f"WITH {_trace_sql(False)} SELECT vec_id, ix, round(temp - 273.15, 4) + 0.0 AS tmpf, round(temp - 273.15, 4) + 0.0 AS tmpb, round(temp - 273.15, 4) + 0.0 AS tmpw FROM f")
+def double_exact(spark, sf_dir):
+    """All parameters free; without noise the fit must return the temperatures themselves."""
+    return _double(spark, sf_dir, False).temperature.select(no_of(), "ix", r("tmpf", 4), r("tmpb", 4), r("tmpw", 4))
+
+
+@query("double_exact_locations", f"WITH {_trace_sql(False)} SELECT DISTINCT ix, round(x * {(AP - AM) * 1e6!r}::DOUBLE, 3) + 0.0 AS alpha_e6 FROM f")
+def double_exact_locations(spark, sf_dir):
+    return _double(spark, sf_dir, False).params_x.select("ix", r(F.col("alpha") * 1e6, 3, "alpha_e6"))
+
+
+def _double_sql(gamma: tuple | None = None) -> str:
+    """Given attenuations: what is left is gamma and an offset of each direction and time, in closed form."""
+    a = f"{AP - AM!r}::DOUBLE * x"
+    lines = []
+    for d, st, ast, sign in (("f", "st", "ast", "+"), ("b", "rst", "rast", "-")):
+        y, v = f"ln({st} / {ast}) {sign} {a}", f"{VAR['st']}::DOUBLE / {st} + {VAR['ast']}::DOUBLE / {ast} + {ALPHA_VAR!r}::DOUBLE"
+        if gamma:
+            y, v = f"{y} - {gamma[0]!r}::DOUBLE / temp", f"{v} + {gamma[1]!r}::DOUBLE / temp / temp"
+        lines.append(f"SELECT vec_id, '{d}' AS d, {'0.0::DOUBLE' if gamma else '1 / temp'} AS u, {y} AS y, 1 / ({v}) AS w FROM f WHERE section IS NOT NULL")
+    g, gv = (f"{gamma[0]!r}::DOUBLE", f"{gamma[1]!r}::DOUBLE") if gamma else ("g1", "gg")
+    return f"""
+WITH {_trace_sql()}, r0 AS ({' UNION ALL '.join(lines)}),
+m0 AS (SELECT vec_id, d, sum(w) AS sw, sum(w * u) / sum(w) AS mu, sum(w * y) / sum(w) AS my FROM r0 GROUP BY vec_id, d),
+d0 AS (SELECT w, u - mu AS u, y - my AS y FROM r0 JOIN m0 USING (vec_id, d)),
+p0 AS (SELECT {'max(0.0::DOUBLE)' if gamma else 'sum(w * u * y) / sum(w * u * u)'} AS g1, {'max(0.0::DOUBLE)' if gamma else '1 / sum(w * u * u)'} AS gn FROM d0),
+e0 AS (SELECT sum(w * (y - g1 * u) * (y - g1 * u)) / (count(*) - {0 if gamma else 1} - (SELECT count(*) FROM m0)) AS err FROM d0, p0),
+par AS (SELECT {g} AS gamma, {gv} AS gamma_var, g1, gg, err FROM (SELECT g1, gn * err AS gg, err FROM p0, e0)),
+tim AS (SELECT m.vec_id, g1 * m.mu - m.my AS df, g1 * n.mu - n.my AS db, err / m.sw + m.mu * m.mu * gg AS df_var, err / n.sw + n.mu * n.mu * gg AS db_var, m.mu * gg AS gamma_df, n.mu * gg AS gamma_db, m.mu * n.mu * gg AS df_db
+  FROM m0 m JOIN m0 n ON m.vec_id = n.vec_id AND m.d = 'f' AND n.d = 'b', par),
+tmp AS (SELECT f.*, gamma, gamma_var, tim.df, tim.db, df_var, db_var, gamma_df, gamma_db, df_db, gamma / (ln(st / ast) + tim.df + {a}) AS tf, gamma / (ln(rst / rast) + tim.db - {a}) AS tb, {ALPHA_VAR!r}::DOUBLE AS av FROM f JOIN tim USING (vec_id), par),
+q0 AS (SELECT *, tf * tf / gamma AS ef, tb * tb / gamma AS eb FROM tmp),
+q1 AS (SELECT *, ef * ef * ({VAR['st']}::DOUBLE / st + {VAR['ast']}::DOUBLE / ast) AS nf, eb * eb * ({VAR['st']}::DOUBLE / rst + {VAR['ast']}::DOUBLE / rast) AS nb FROM q0),
+q2 AS (SELECT *, nf + tf * tf / gamma / gamma * gamma_var + ef * ef * (df_var + av) - 2 * tf / gamma * ef * gamma_df AS vf, nb + tb * tb / gamma / gamma * gamma_var + eb * eb * (db_var + av) - 2 * tb / gamma * eb * gamma_db AS vb FROM q1),
+q3 AS (SELECT *, vb / (vf + vb) AS wf, vf / (vf + vb) AS wb, vf * vb / (vf + vb) AS approx, nf * nb / (nf + nb) AS lower_ FROM q2),
+q4 AS (SELECT *, (wf * tf + wb * tb) / gamma AS gw, wf * ef AS fw, wb * eb AS bw FROM q3),
+com AS (SELECT *, wf * tf + wb * tb AS tw, wf * wf * nf + wb * wb * nb + gw * gw * gamma_var + fw * fw * df_var + bw * bw * db_var + (fw - bw) * (fw - bw) * av - 2 * gw * fw * gamma_df - 2 * gw * bw * gamma_db + 2 * fw * bw * df_db AS vw FROM q4)
+"""
+
+
+for _name, _gamma in (("fix_alpha", None), ("fix_both", (482.0, 0.01))):
+
+    def _kw(spark, gamma=_gamma):
+        return {"fix_alpha": _given_alpha(spark)} | ({"fix_gamma": gamma} if gamma else {})
+
+    @query(f"double_times_{_name}", _double_sql(_gamma) + "SELECT vec_id, round(df, 7) + 0.0 AS df, round(db, 7) + 0.0 AS db, round(df_var * 1e6, 6) + 0.0 AS df_var_e6, round(db_var * 1e6, 6) + 0.0 AS db_var_e6, round(df_db * 1e6, 6) + 0.0 AS df_db_e6 FROM tim")
+    def _times(spark, sf_dir, kw=_kw):
+        p = _double(spark, sf_dir, **kw(spark)).params_t
+        return p.select(no_of(), r("df", 7), r("db", 7), *[r(F.col(c) * 1e6, 6, f"{c}_e6") for c in ("df_var", "db_var", "df_db")])
+
+    @query(f"double_temperature_{_name}", _double_sql(_gamma) + "SELECT vec_id, ix, round(tf - 273.15, 4) + 0.0 AS tmpf, round(tb - 273.15, 4) + 0.0 AS tmpb, round(tw - 273.15, 4) + 0.0 AS tmpw FROM com")
+    def _temperature(spark, sf_dir, kw=_kw):
+        return _double(spark, sf_dir, **kw(spark)).temperature.select(no_of(), "ix", r("tmpf", 4), r("tmpb", 4), r("tmpw", 4))
+
+    @query(f"double_variance_{_name}", _double_sql(_gamma) + "SELECT vec_id, ix, round(vf, 6) + 0.0 AS tmpf_var, round(vb, 6) + 0.0 AS tmpb_var, round(vw, 6) + 0.0 AS tmpw_var, round(approx, 6) + 0.0 AS tmpw_var_approx, round(lower_, 6) + 0.0 AS tmpw_var_lower FROM com")
+    def _variance(spark, sf_dir, kw=_kw):
+        return _double(spark, sf_dir, **kw(spark)).temperature.select(no_of(), "ix", *[r(f"tmp{c}", 6) for c in ("f_var", "b_var", "w_var", "w_var_approx", "w_var_lower")])
+
+
+@query("double_external", _double_sql((482.0, 0.01)) + f"SELECT vec_id, ix, round(gamma / (ln(st / ast) + df + {AP - AM!r}::DOUBLE * x) - 273.15, 4) + 0.0 AS tmpf FROM tmp WHERE section IS NOT NULL")
+def double_external(spark, sf_dir):
+    """The parameters of one calibration given to another; locations of the sections, whose attenuations are given."""
+    meas, series = trace(spark, sf_dir)
+    sections = sec.sections_frame(spark, SECTIONS)
+    first = _double(spark, sf_dir, fix_alpha=_given_alpha(spark), fix_gamma=(482.0, 0.01))
+    shared = {"gamma": (482.0, 0.01)} | {f"alpha_{i}": ((AP - AM) * i, ALPHA_VAR) for i in range(64)}
+    given = External(shared, first.params_t.select("time", "df", "db", "df_var", "db_var"))
+    out = calibrate_double(meas.drop("temp"), series, sections, *_double_vars(), external=given).temperature
+    return sec.members(out, sections).select(no_of(), "ix", r("tmpf", 4))
+
+
+@query("single_external", _single_sql() + "SELECT vec_id, ix, round(tk - 273.15, 4) + 0.0 AS tmpf FROM com")
+def single_external(spark, sf_dir):
+    meas, series = trace(spark, sf_dir)
+    first = _single(spark, sf_dir)
+    given = External({"gamma": first.fit.get("gamma"), "dalpha": first.fit.get("dalpha")}, first.params_t.select("time", "c", "c_var"))
+    out = calibrate_single(meas.select("ix", "x", "time", "st", "ast"), series, sec.sections_frame(spark, SECTIONS), *_variances(), external=given).temperature
+    return out.select(no_of(), "ix", r("tmpf", 4))
+
+
+@query("single_p_val", _single_sql() + "SELECT name, vec_id, round(value, 5) + 0.0 AS value, round(var * 1e6, 5) + 0.0 AS var_e6 FROM (SELECT 'gamma' AS name, CAST(NULL AS BIGINT) AS vec_id, gamma AS value, gamma_var AS var FROM par UNION ALL SELECT 'dalpha', NULL, dalpha, dalpha_var FROM par UNION ALL SELECT 'c', vec_id, c, c_var FROM tim)")
+def single_p_val(spark, sf_dir):
+    return _single(spark, sf_dir).fit.p_val().select("name", no_of(), r("value", 5), r(F.col("var") * 1e6, 5, "var_e6"))
+
+
+@query(
+    "single_p_cov",
+    _single_sql() + "SELECT name, other, vec_id, round(cov * 1e6, 5) + 0.0 AS cov_e6 FROM (SELECT 'gamma' AS name, 'gamma' AS other, CAST(NULL AS BIGINT) AS vec_id, gg AS cov FROM par UNION ALL SELECT 'gamma', 'dalpha', NULL, gd FROM par UNION ALL SELECT 'dalpha', 'gamma', NULL, gd FROM par "
+    "UNION ALL SELECT 'dalpha', 'dalpha', NULL, dd FROM par UNION ALL SELECT 'c', 'c', vec_id, c_var FROM tim UNION ALL SELECT 'c', 'gamma', vec_id, gamma_c FROM tim UNION ALL SELECT 'c', 'dalpha', vec_id, dalpha_c FROM tim)",
+)
+def single_p_cov(spark, sf_dir):
+    return _single(spark, sf_dir).fit.p_cov().select("name", "other", no_of(), r(F.col("cov") * 1e6, 5, "cov_e6"))
+
+
+# Monte Carlo
+
+SAMPLES, SEED = 20, 7
+
+
+def _uniform(name: str, *parts: str) -> str:
+    text = " || '|' || ".join([f"'{SEED}|{name}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) * {2.0**-52!r}::DOUBLE)"
+
+
+def _normal(name: str, *parts: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(name + '/u', *parts)})) * cos(2 * pi() * {_uniform(name + '/v', *parts)}))"
+
+
+_US = f"vec_id * {MINUTE}"
+_SAMPLES = _single_sql() + f""",
+mcs AS (SELECT unnest(range({SAMPLES})) AS mc),
+sh AS (SELECT mc, sqrt(gg) * {_normal('gamma', 'mc')} AS og, gd / sqrt(gg) * {_normal('gamma', 'mc')} + sqrt(dd - gd * gd / gg) * {_normal('dalpha', 'mc')} AS od FROM mcs, par),
+ow AS (SELECT vec_id, mc, c + mu * og + mx * od + sqrt(err / sw) * {_normal('c', 'mc', _US)} AS c_mc FROM tim JOIN m0 USING (vec_id), sh, par),
+it AS (SELECT tmp.vec_id, ix, x, mc, tk - 273.15 AS tmpf, gamma + og AS g_mc, dalpha + od AS d_mc, st + sqrt(st * {VAR['st']}::DOUBLE) * {_normal('st', 'mc', 'ix', _US)} AS s_mc, ast + sqrt(ast * {VAR['ast']}::DOUBLE) * {_normal('ast', 'mc', 'ix', _US)} AS a_mc FROM tmp, sh),
+sam AS (SELECT it.vec_id, ix, x, it.mc, tmpf, g_mc / (ln(s_mc / a_mc) + c_mc + d_mc * x) - 273.15 AS t FROM it JOIN ow ON it.vec_id = ow.vec_id AND it.mc = ow.mc)
+"""
+
+
+def _drawn(spark, sf_dir):
+    return sampling.sample_single(_single(spark, sf_dir), SAMPLES, SEED, sampling.digested)
+
+
+@query("monte_carlo_variance", _SAMPLES + "SELECT vec_id, ix, round(var_samp(t - tmpf), 6) AS tmpf_mc_var, round(quantile_cont(t, 0.025), 4) + 0.0 AS low, round(quantile_cont(t, 0.975), 4) + 0.0 AS high FROM sam GROUP BY vec_id, ix")
+def monte_carlo_variance(spark, sf_dir):
+    out = sampling.single_statistics(_drawn(spark, sf_dir))
+    return out.select(no_of(), "ix", r("tmpf_mc_var", 6), r(F.get("tmpf_mc", F.lit(0)), 4, "low"), r(F.get("tmpf_mc", F.lit(1)), 4, "high"))
+
+
+_KEYS = {"time": ("ix", "x BETWEEN 0 AND 1e9"), "x": ("vec_id", "x BETWEEN 20 AND 27")}
+
+
+for _over, (_key, _part) in _KEYS.items():
+    _mean = f"""SELECT {_key}, round(avg(tmpf), 4) + 0.0 AS tmpf_avg, round(var_samp(t - tmpf), 6) AS tmpf_avg_var, round(quantile_cont(t, 0.025), 4) + 0.0 AS low, round(quantile_cont(t, 0.975), 4) + 0.0 AS high FROM sam WHERE {_part} GROUP BY {_key}"""
+    _weighted = f""", q AS (SELECT vec_id, ix, var_samp(t - tmpf) AS q FROM sam WHERE {_part} GROUP BY vec_id, ix),
+    a AS (SELECT {_key}, mc, sum(t / q) / sum(1 / q) AS m, 1 / sum(1 / q) AS v FROM sam JOIN q USING (vec_id, ix) GROUP BY {_key}, mc)
+    SELECT {_key}, round(avg(m), 4) + 0.0 AS tmpf_avg, round(min(v), 7) AS tmpf_avg_var, round(quantile_cont(m, 0.025), 4) + 0.0 AS low, round(quantile_cont(m, 0.975), 4) + 0.0 AS high FROM a GROUP BY {_key}"""
+
+    def _average(spark, sf_dir, kind=1, over=_over):
+        part = sampling.selected(_drawn(spark, sf_dir), x_sel=None if over == "time" else (20.0, 27.0))
+        out = sampling.average(part, over, kind, exact=True)
+        return out.select("ix" if over == "time" else no_of(), r("tmpf_avg", 4), r("tmpf_avg_var", 6 if kind == 1 else 7), r(F.get("tmpf_avg_ci", F.lit(0)), 4, "low"), r(F.get("tmpf_avg_ci", F.lit(1)), 4, "high"))
+
+    query(f"average_{_over}_1", _SAMPLES + _mean)(lambda spark, sf_dir, f=_average: f(spark, sf_dir, 1))
+    query(f"average_{_over}_2", _SAMPLES + _weighted)(lambda spark, sf_dir, f=_average: f(spark, sf_dir, 2))
+
+
+_MC2 = _double_sql() + f""",
+mcs AS (SELECT unnest(range({SAMPLES})) AS mc), sh AS (SELECT mc, sqrt(gg) * {_normal('gamma', 'mc')} AS og FROM mcs, par),
+ow AS (SELECT tim.vec_id, mc, tim.df + m.mu * og + sqrt(err / m.sw) * {_normal('df', 'mc', 'tim.' + _US)} AS f_mc, tim.db + n.mu * og + sqrt(err / n.sw) * {_normal('db', 'mc', 'tim.' + _US)} AS b_mc
+  FROM tim JOIN m0 m ON tim.vec_id = m.vec_id AND m.d = 'f' JOIN m0 n ON tim.vec_id = n.vec_id AND n.d = 'b', sh, par),
+it AS (SELECT vec_id, ix, x, mc, tf - 273.15 AS tmpf, tb - 273.15 AS tmpb, gamma + og AS g_mc, {AP - AM!r}::DOUBLE * x + sqrt(av) * {_normal('alpha', 'mc', 'ix')} AS a_mc,
+  {', '.join(f"{c} + sqrt({c} * {VAR[c[-2:] if c[-3:] != 'ast' else 'ast']}::DOUBLE) * {_normal(c, 'mc', 'ix', _US)} AS {c}_mc" for c in ('st', 'ast', 'rst', 'rast'))} FROM tmp, sh),
+sam AS (SELECT it.vec_id, ix, it.mc, tmpf, tmpb, g_mc / (ln(st_mc / ast_mc) + f_mc + a_mc) - 273.15 AS f, g_mc / (ln(rst_mc / rast_mc) + b_mc - a_mc) - 273.15 AS b FROM it JOIN ow ON it.vec_id = ow.vec_id AND it.mc = ow.mc),
+v AS (SELECT vec_id, ix, min(tmpf) AS tmpf, min(tmpb) AS tmpb, var_samp(f - tmpf) AS vf, var_samp(b - tmpb) AS vb FROM sam GROUP BY vec_id, ix),
+w AS (SELECT vec_id, ix, v.vf, v.vb, (vb * v.tmpf + vf * v.tmpb) / (vf + vb) AS tmpw, (vb * f + vf * b) / (vf + vb) AS t FROM sam JOIN v USING (vec_id, ix))
+"""
+
+
+@query("monte_carlo_double", _MC2 + "SELECT vec_id, ix, round(min(vf), 6) AS tmpf_mc_var, round(min(vb), 6) AS tmpb_mc_var, round(var_samp(t), 6) AS tmpw_mc_var, round(min(tmpw), 4) + 0.0 AS tmpw, round(quantile_cont(t, 0.025), 4) + 0.0 AS low, round(quantile_cont(t, 0.975), 4) + 0.0 AS high FROM w GROUP BY vec_id, ix")
+def monte_carlo_double(spark, sf_dir):
+    drawn = sampling.sample_double(_double(spark, sf_dir, fix_alpha=_given_alpha(spark)), SAMPLES, SEED, sampling.digested)
+    out = sampling.double_statistics(drawn)
+    return out.select(no_of(), "ix", *[r(f"tmp{c}_mc_var", 6) for c in "fbw"], r("tmpw", 4), r(F.get("tmpw_mc", F.lit(0)), 4, "low"), r(F.get("tmpw_mc", F.lit(1)), 4, "high"))
+
+
+@query("monte_carlo_double_free", None)
+def monte_carlo_double_free(spark, sf_dir):
+    """All parameters free, 100 samples with the faster draws; tested by its mean against the propagated variance."""
+    return sampling.monte_carlo_double(_double(spark, sf_dir)).select(no_of(), "ix", "tmpw", "tmpf_mc_var", "tmpb_mc_var", "tmpw_mc_var")
+
+
+# reports
+
+
+@query("report_spread_by_location", _single_sql() + "SELECT ix, count(*) AS n, round(avg(tk - temp), 6) + 0.0 AS mean, round(stddev_pop(tk - temp), 6) AS std FROM com WHERE section IS NOT NULL GROUP BY ix")
+def report_spread_by_location(spark, sf_dir):
+    _, series = trace(spark, sf_dir)
+    rows = reports.residuals(_single(spark, sf_dir).temperature, series, sec.sections_frame(spark, SECTIONS))
+    return reports.spread(rows, "x").select("ix", "n", r("mean", 6), r("std", 6))
+
+
+@query("report_spread_by_time", _single_sql() + "SELECT vec_id, count(*) AS n, round(avg(tk - temp), 6) + 0.0 AS mean, round(stddev_pop(tk - temp), 6) AS std FROM com WHERE section IS NOT NULL GROUP BY vec_id")
+def report_spread_by_time(spark, sf_dir):
+    _, series = trace(spark, sf_dir)
+    rows = reports.residuals(_single(spark, sf_dir).temperature, series, sec.sections_frame(spark, SECTIONS))
+    return reports.spread(rows, "time").select(no_of(), "n", r("mean", 6), r("std", 6))
+
+
+@query("report_accuracy", _single_sql() + "SELECT section, stretch_id, vec_id, round(avg(tk - temp), 6) + 0.0 AS bias, round(stddev_pop(tk - temp), 6) AS precision FROM com WHERE section IS NOT NULL GROUP BY section, stretch_id, vec_id")
+def report_accuracy(spark, sf_dir):
+    _, series = trace(spark, sf_dir)
+    return reports.accuracy(_single(spark, sf_dir).temperature, series, sec.sections_frame(spark, SECTIONS)).select("section", "stretch_id", no_of(), r("bias", 6), r("precision", 6))
+
+
+@query(
+    "report_sigma",
+    _single_sql() + ", a AS (SELECT section, stretch_id, ix, tk - temp AS d, sqrt(dT_dst + dT_dast + dT_dgamma + dT_dc + dT_dalpha + dgamma_dc + dgamma_ddalpha + ddalpha_dc) AS s FROM com WHERE section IS NOT NULL), "
+    "b AS (SELECT section, stretch_id, ix, avg(s) AS s FROM a GROUP BY section, stretch_id, ix), c AS (SELECT section, stretch_id, avg(s) AS s FROM b GROUP BY section, stretch_id) "
+    "SELECT a.section, a.stretch_id, round(stddev_pop(d), 6) AS sigma_seen, round(min(c.s), 6) AS sigma_claimed FROM a JOIN c ON a.section = c.section AND a.stretch_id = c.stretch_id GROUP BY a.section, a.stretch_id",
+)
+def report_sigma(spark, sf_dir):
+    _, series = trace(spark, sf_dir)
+    return reports.sigma_report(_single(spark, sf_dir).temperature, series, sec.sections_frame(spark, SECTIONS)).select("section", "stretch_id", r("sigma_seen", 6), r("sigma_claimed", 6))
+
+
+@query(
+    "report_location_residuals",
+    _double_sql() + f"SELECT vec_id, ix, round((gamma / tf - gamma / temp) / sqrt({VAR['st']}::DOUBLE / st + {VAR['ast']}::DOUBLE / ast), 4) + 0.0 AS werr_f, round((gamma / tb - gamma / temp) / sqrt({VAR['st']}::DOUBLE / rst + {VAR['ast']}::DOUBLE / rast), 4) + 0.0 AS werr_b FROM com WHERE section IS NOT NULL",
+)
+def report_location_residuals(spark, sf_dir):
+    _, series = trace(spark, sf_dir)
+    out = reports.location_residuals(_double(spark, sf_dir, fix_alpha=_given_alpha(spark)), series, sec.sections_frame(spark, SECTIONS))
+    return out.select(no_of(), "ix", r("werr_f", 4), r("werr_b", 4))
+
+
+# alignment
+
+
+@query("shift_forwards", f"WITH {_trace_sql()} SELECT f.vec_id, f.ix - 3 AS ix, f.x, round(f.st, 4) AS st, round(b.rst, 4) AS rst FROM f JOIN f b ON f.vec_id = b.vec_id AND f.ix = b.ix + 3")
+def shift_forwards(spark, sf_dir):
+    return alignment.shift_double_ended(trace(spark, sf_dir)[0], 3).select(no_of(), "ix", "x", r("st", 4), r("rst", 4))
+
+
+@query("shift_backwards", f"WITH {_trace_sql()} SELECT f.vec_id, f.ix, f.x, round(f.st, 4) AS st, round(b.rst, 4) AS rst FROM f JOIN f b ON f.vec_id = b.vec_id AND f.ix = b.ix - 5")
+def shift_backwards(spark, sf_dir):
+    return alignment.shift_double_ended(trace(spark, sf_dir)[0], -5).select(no_of(), "ix", "x", r("st", 4), r("rst", 4))
+
+
+_ERRORS = f"""
+WITH {_trace_sql()}, sh AS (SELECT unnest(range(-4, 5)) AS shift),
+att AS (SELECT shift, f.vec_id, f.ix, f.x, (ln(b.rst / b.rast) - ln(f.st / f.ast)) / 2 AS att FROM sh, f JOIN f b ON f.vec_id = b.vec_id AND f.ix = b.ix + shift),
+df AS (SELECT shift, x, att, lag(att) OVER w AS a1, lag(att, 2) OVER w AS a2, lag(x) OVER w AS x1, lag(x, 2) OVER w AS x2 FROM att WINDOW w AS (PARTITION BY shift, vec_id ORDER BY ix)),
+er AS (SELECT shift, sum(CASE WHEN (x + x1) / 2 > 1 AND (x + x1) / 2 < 150 THEN abs(att - a1) END) AS err1, sum(CASE WHEN x1 > 1 AND x1 < 150 AND x2 IS NOT NULL THEN abs(att - 2 * a1 + a2) END) AS err2 FROM df GROUP BY shift)
+"""
+
+
+@query("shift_errors", _ERRORS + "SELECT CAST(shift AS INT) AS shift, round(err1, 5) AS err1, round(err2, 5) AS err2 FROM er")
+def shift_errors(spark, sf_dir):
+    return alignment.shift_errors(trace(spark, sf_dir)[0], range(-4, 5)).select("shift", r("err1", 5), r("err2", 5))
+
+
+@query("suggest_shift", _ERRORS + "SELECT CAST(arg_min(shift, err1) AS INT) AS shift1, CAST(arg_min(shift, err2) AS INT) AS shift2 FROM er")
+def suggest_shift(spark, sf_dir):
+    return alignment.suggest_shift(trace(spark, sf_dir)[0], range(-4, 5))
+
+
+@query("merge_double_ended", f"WITH {_trace_sql()} SELECT f.vec_id, f.ix, round(f.st, 4) AS st, round(f.ast, 4) AS ast, round(b.st, 4) AS rst, round(b.ast, 4) AS rast FROM f JOIN f b ON b.vec_id = f.vec_id AND f.ix + b.ix = 63")
+def merge_double_ended(spark, sf_dir):
+    """The trace as forward recording, and itself half a minute later and 0.3 m off as backward one."""
+    meas, _ = trace(spark, sf_dir)
+    fw = meas.select("ix", "x", "time", "st", "ast")
+    bw = fw.withColumns({"time": F.timestamp_micros(F.unix_micros("time") + MINUTE // 2), "x": F.col("x") + 0.3})
+    return alignment.merge_double_ended(fw, bw, 63.0, 1.0).select(no_of(), "ix", *[r(c, 4) for c in ("st", "ast", "rst", "rast")])
+
+
+_EVENT_PAIRS = """
+WITH u AS (SELECT epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS fw FROM events WHERE event_type IN ('click', 'view')),
+d AS (SELECT us, min(fw) AS fw FROM u GROUP BY us),
+n AS (SELECT us, fw, lead(us) OVER (ORDER BY us) AS us2, lead(fw) OVER (ORDER BY us) AS fw2 FROM d),
+p AS (SELECT us AS f, us2 AS b, us2 - us AS dt FROM n WHERE fw = 1 AND fw2 = 0)
+"""
+
+
+@query("pair_times", _EVENT_PAIRS + ", q AS (SELECT *, lag(dt) OVER (ORDER BY f) AS p, lead(dt) OVER (ORDER BY f) AS s FROM p) SELECT f AS fw_us, b AS bw_us FROM q WHERE NOT coalesce(abs(p - s) <= 90000000 AND abs(dt - p) > 90000000, false)")
+def pair_times(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("time"), "event_type")
+    out = alignment.pair_times(rows.filter("event_type = 'click'"), rows.filter("event_type = 'view'"), tolerance_s=90.0)
+    return out.select(F.unix_micros("time_fw").alias("fw_us"), F.unix_micros("time_bw").alias("bw_us"))
+
+
+@query("pair_times_unverified", _EVENT_PAIRS + "SELECT f AS fw_us, b AS bw_us, dt / 1e6 AS dt_s FROM p")
+def pair_times_unverified(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("time"), "event_type")
+    out = alignment.pair_times(rows.filter("event_type = 'click'"), rows.filter("event_type = 'view'"), verify=False)
+    return out.select(F.unix_micros("time_fw").alias("fw_us"), F.unix_micros("time_bw").alias("bw_us"), "dt_s")
+
+
+@query("nearest_places", f"WITH {_GRID}, a AS (SELECT DISTINCT ix, x FROM g), b AS (SELECT DISTINCT vec_id AS ib, abs(embedding[1]::DOUBLE) * 200 AS xb FROM embeddings), c AS (SELECT ix, ib, row_number() OVER (PARTITION BY ix ORDER BY abs(x - xb), -xb, ib) AS k FROM a JOIN b ON abs(x - xb) <= 1.98) SELECT ix, ib FROM c WHERE k = 1")
+def nearest_places(spark, sf_dir):
+    a = grid(spark, sf_dir)[0].select("ix", "x").distinct()
+    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ib"), (F.abs(F.get("embedding", F.lit(0)).cast("double")) * 200).alias("xb"))
+    return alignment.nearest_places(a, b, 2.0, 1.98).select("ix", "ib")
+
+
+# resampling and interpolation
+
+
+@query(
+    "resample_mean",
+    "WITH o AS (SELECT epoch_us(date_trunc('day', min(ts))) AS o FROM events) SELECT event_type, o + (epoch_us(ts) - o) // 47000000 * 47000000 AS slot_us, count(*) AS n, round(avg(value), 6) AS value FROM events, o GROUP BY event_type, slot_us",
+)
+def resample_mean(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("time"), "value")
+    return resampling.resample_mean(rows, 47.0, ["value"], ["event_type"]).select("event_type", F.unix_micros("time").alias("slot_us"), "n", r("value", 6))
+
+
+_LERP = """
+WITH k AS (SELECT {key} epoch_us(ts) AS us, avg(value) AS v FROM events WHERE event_type = 'click' GROUP BY {key} us),
+q AS (SELECT event_id, {key} epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
+b AS (SELECT q.event_id, q.us, {qkey} k.us AS bu, k.v AS bv FROM q ASOF LEFT JOIN k ON {on} q.us >= k.us),
+c AS (SELECT b.*, k.us AS au, k.v AS av FROM b ASOF LEFT JOIN k ON {onb} b.us <= k.us)
+SELECT event_id, round(CASE WHEN au = bu THEN bv ELSE bv + (av - bv) * ((us - bu) / (au - bu)::DOUBLE) END, 6) + 0.0 AS value FROM c
+"""
+
+
+def _lerp(spark, sf_dir, by=None):
+    rows = table(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
+    keys = by or []
+    out = resampling.interpolate(rows.filter("event_type = 'click'").select("time", "value", *keys), rows.filter("event_type = 'view'").select("event_id", "time", *keys), "value", keys)
+    return out.select("event_id", r("value", 6))
+
+
+@query("interpolate", _LERP.format(key="", qkey="", on="", onb=""))
+def interpolate(spark, sf_dir):
+    return _lerp(spark, sf_dir)
+
+
+@query("interpolate_by_key", _LERP.format(key="user_id,", qkey="q.user_id,", on="q.user_id = k.user_id AND", onb="b.user_id = k.user_id AND"))
+def interpolate_by_key(spark, sf_dir):
+    return _lerp(spark, sf_dir, ["user_id"])
+
+
 def queries() -> dict:
     return QUERIES
 
