@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,17 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the files of a stored parquet table, a single file or a folder of parts."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    head, name = os.path.split(path.rstrip("/"))
+    return reader.parquet(f"{head}/{name[:-1]}[{name[-1]}]")  # as a pattern, a single file is taken like a folder of parts
+
+
+def filesystem(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM knows them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session that leaves it unset (tests, one machine) gets a temporary one.
+    Only a session that leaves it unset and runs on one machine (tests) gets a temporary one, which is removed at exit; on a
+    cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="thermaline-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="thermaline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)

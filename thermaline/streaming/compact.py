@@ -13,8 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermaline.session import work_dir
-from thermaline.streaming.nearest import _source
+from thermaline.session import filesystem, stream_of, work_dir
 
 RECORD = ["device", "record_no", "time_us", "st", "ast"]
 #: Bytes that a consolidated file should have at most.
@@ -83,7 +82,7 @@ def compact_table(spark: SparkSession, path: str, file_id: str, body: str, files
     root = work_dir(spark, "compact")
     out = out or f"{root}/table"
     stored = spark.read.parquet(path)
-    stream = _source(spark, path, stored.schema, files_per_batch)
+    stream = stream_of(spark, path, stored.schema, files_per_batch)
     compact_stream(stream, file_id, body, f"{root}/batches", f"{root}/progress").awaitTermination()
     schema = first_of_each(records_of(stored, file_id, body)).schema
     found = _exists(spark, f"{root}/batches")
@@ -93,10 +92,10 @@ def compact_table(spark: SparkSession, path: str, file_id: str, body: str, files
 
 
 def _bytes(spark: SparkSession, path: str) -> int:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    fs, p = filesystem(spark, path)
+    return fs.getContentSummary(p).getLength()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = filesystem(spark, path)
+    return fs.exists(p)
