@@ -1,4 +1,4 @@
-"""Queries of the record-processing problems 1 to 7, each over its whole tables, with SQL where SQL can express it."""
+"""Queries of the record-processing problems 1 to 3 and 5 to 7, each over its whole tables, with SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -12,10 +12,6 @@ from thermaline.operators.spikes import Field, flag_implausible
 from thermaline.operators.timestamps import normalise_stamps
 from thermaline.session import table
 from thermaline.streaming.compact import compact_table
-from thermaline.streaming.nearest import nearest_join
-
-TOLERANCE_US = 20_000_000
-READING = "pt100_2 IS NOT NULL AND NOT isnan(pt100_2)"
 
 
 def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +64,6 @@ def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select(F.col("series").alias("run_id"), "slot_us", "readings", F.round("mean", 6).alias("mean"), "status")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = nearest_join(f"{sf_dir}/series.parquet", f"{sf_dir}/probe_readings.parquet", spark, "run_id", "time", "trace_id", "reading_id", TOLERANCE_US, READING)
-    return pairs.select(F.col("left_id").alias("trace_id"), F.col("right_id").alias("reading_id"))
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves_with_software(table(spark, sf_dir, "witsml_raw"), "raw_id", "body").withColumnRenamed("row_id", "raw_id")
 
@@ -113,13 +104,6 @@ SELECT g.run_id, CAST(g.cell * g.per AS BIGINT) AS slot_us, CAST(coalesce(c.read
 FROM g LEFT JOIN c ON g.run_id = c.run_id AND g.cell = c.cell
 """
 
-_SQL_P4 = f"""
-WITH l AS (SELECT DISTINCT trace_id, run_id, epoch_us(time) AS t FROM series),
-r AS (SELECT DISTINCT reading_id, run_id, epoch_us(time) AS t FROM probe_readings WHERE pt100_2 IS NOT NULL AND NOT isnan(pt100_2)),
-p AS (SELECT trace_id, reading_id, row_number() OVER (PARTITION BY trace_id ORDER BY abs(l.t - r.t), reading_id) AS k FROM l JOIN r ON l.run_id = r.run_id AND abs(l.t - r.t) <= {TOLERANCE_US})
-SELECT trace_id, reading_id FROM p WHERE k = 1
-"""
-
 _SQL_P7 = r"""
 WITH b AS (SELECT blob_id, string_split(body, chr(10)) AS lines FROM small_files WHERE body IS NOT NULL),
 l AS (SELECT blob_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM b),
@@ -135,7 +119,7 @@ SELECT m[1] AS blob_id, CAST(m[2] AS BIGINT) AS line_no FROM k
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_statuses": p1_statuses, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found,
+        "p1_found": p1_found, "p1_statuses": p1_statuses, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_grid": p3_grid,
         "p5_found": p5_found, "p5_logs": p5_logs, "p5_wellbores": p5_wellbores, "p6_found": p6_found, "p6_table": p6_table, "p7_found": p7_found,
     }
 
@@ -143,5 +127,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"SELECT run_id, slot_us FROM ({_SQL_P3_GRID}) WHERE readings = 0",
-        "p3_grid": _SQL_P3_GRID, "p4_found": _SQL_P4, "p7_found": _SQL_P7,
+        "p3_grid": _SQL_P3_GRID, "p7_found": _SQL_P7,
     }
