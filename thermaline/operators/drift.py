@@ -1,9 +1,11 @@
 """Schemas that drift between files: one consistent table, and a log of the changes.
 
-Headers are flattened in parallel into (file, field, type, value). Each field's types are folded through a lattice
-(null < boolean < number < string, with arrays apart and string on top) into the type of the union table; additions, removals,
-renames and type changes come from the field's first and last files (partial aggregates) and from neighbouring
-values of a field, which are found slice by slice so that a long stream is no hot task.
+Headers are flattened in parallel into (file, field, type, value). The schemas of a stream's files are folded into its union
+schema: the fold keeps of each field the join of its types in a lattice (null < boolean < number < string < array) and
+where it comes first and last, and is a partial aggregate, so it may be taken in any order and over any number of
+files. The log reads the ordered differences from it: a field is added where the fold of the files up to one has it
+first, removed where the fold of the files from one on lacks it first. Changes of type come from neighbouring values of a
+field, which are found slice by slice so that a long stream is no hot task. Files are cast to the union schema.
 """
 
 from __future__ import annotations
@@ -66,10 +68,19 @@ def header_fields(files: DataFrame, stream: str, seq: str, header: str) -> DataF
     return source.mapInPandas(run, FIELDS)
 
 
-def promoted(types: Column) -> Column:
-    """Join of a set of types in the lattice: null below all, boolean and number below string, arrays below array, string on top."""
-    kinds = F.array_sort(F.array_distinct(F.filter(types, lambda t: t != "null")))
-    return F.when(F.size(kinds) == 0, "null").when(F.size(kinds) == 1, kinds[0]).when(F.array_contains(kinds, "array"), "array").otherwise("string")
+LATTICE = ("null", "boolean", "number", "string", "array")
+
+
+def promoted(type_: Column) -> Column:
+    """Join of a column of types in the lattice, as an aggregate: the highest of them. Types outside it count as strings."""
+    place = F.array_position(F.array(*[F.lit(t) for t in LATTICE]), type_)
+    return F.element_at(F.array(*[F.lit(t) for t in LATTICE]), F.max(F.when(place > 0, place).otherwise(LATTICE.index("string") + 1)).cast("int"))
+
+
+def fold(facts: DataFrame) -> DataFrame:
+    """``(stream, field, kind, first, last)``: the union schema of each stream; ``first`` and ``last`` have ``seq, type, value``."""
+    at = F.struct("seq", "type", "value")
+    return facts.filter("field IS NOT NULL").groupBy("stream", "field").agg(promoted(F.col("type")).alias("kind"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 
 def drift_log(facts: DataFrame, width: int = 4096) -> DataFrame:
@@ -80,8 +91,7 @@ def drift_log(facts: DataFrame, width: int = 4096) -> DataFrame:
     same type (matched in the order of their names if several agree; null is no value). ``type``: a value that is not
     null and of another type than the field's previous such value.
     """
-    at = F.struct("seq", "type", "value")
-    spans = facts.filter("field IS NOT NULL").groupBy("stream", "field").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    spans = fold(facts)
     files = facts.select("stream", "seq").distinct()
     following = with_neighbour(files, ["stream"], "seq", ["seq"], width, ahead=True, suffix="_next")
     starts = files.groupBy(F.col("stream").alias("_st")).agg(F.min("seq").alias("_first"))
@@ -103,14 +113,31 @@ def drift_log(facts: DataFrame, width: int = 4096) -> DataFrame:
     return moved.unionByName(turned.select("stream", "seq", F.lit("type").alias("kind"), F.col("field").alias("old_name"), F.col("field").alias("new_name")))
 
 
+def cast_value(kind: Column) -> Column:
+    """JSON of a row's ``type, value`` cast to a type that is above it in the lattice: true becomes 1 as a number, numbers and
+    booleans their JSON text as a string, and anything a list of one as an array. Null stays null."""
+    number = F.when(F.col("type") == "boolean", F.when(F.col("value") == "true", "1").otherwise("0")).otherwise(F.col("value"))
+    text = F.when(F.col("type").isin("boolean", "number"), F.concat(F.lit('"'), F.col("value"), F.lit('"'))).otherwise(F.col("value"))
+    as_kind = F.when(kind == "number", number).when(kind == "string", text).when((kind == "array") & (F.col("type") != "array"), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.col("value"))
+    return F.when(F.col("type") == "null", F.lit(None).cast("string")).otherwise(as_kind)
+
+
 def union_table(facts: DataFrame) -> DataFrame:
-    """One row for each file with all its fields in one map, cast to the types of the union schema.
+    """``(stream, seq, fields)``: one row for each file, with every field that any file of its stream has.
 
-    ``fields`` maps every field that any file of the stream has to its value (null where missing) as JSON of the promoted
-    type: where types differ, booleans and numbers become strings, scalars become arrays of one.
+    ``fields`` maps their names, in order, to JSON of the union schema's type (see ``cast_value``), null where the file lacks the field
+    or has a null. A file without fields has nulls only; a file read several times counts once, with the smaller of
+    values that differ.
     """
-    schema = facts.filter("field IS NOT NULL").groupBy("stream", "field").agg(promoted(F.collect_set("type")).alias("kind"))
-    text = F.when(F.col("type") == "string", F.col("value")).otherwise(F.concat(F.lit('"'), F.col("value"), F.lit('"')))
-    cast = F.when((F.col("type") == "null") | (F.col("type") == F.col("kind")), F.col("value")).when(F.col("kind") == "array", F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(text)
-    rows = facts.filter("field IS NOT NULL").dropDuplicates(["stream", "seq", "field"]).join(schema, ["stream", "field"])
-    return rows.groupBy("stream", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", cast.alias("v"))))).alias("fields"))
+    schema = fold(facts).select("stream", "field", "kind")
+    files = facts.select("stream", "seq").distinct()
+    given = facts.filter("field IS NOT NULL").groupBy("stream", "seq", "field").agg(F.min(F.struct("type", "value")).alias("_f")).select("stream", "seq", "field", "_f.*")
+    rows = files.join(schema, "stream", "left").join(given, ["stream", "seq", "field"], "left")
+    entry = F.when(F.col("field").isNotNull(), F.struct("field", cast_value(F.col("kind")).alias("value")))
+    return rows.groupBy("stream", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fields"))  # as long as the stream's schema
+
+
+def typed_columns(table: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """``(stream, seq, <column>...)``: fields of the union table as columns of Spark's types, from ``{field: type}``; null where missing."""
+    cols = [F.from_json(F.concat(F.lit('{"v":'), F.get(F.array(F.col("fields")[name]), F.lit(0)), F.lit("}")), f"v {t}")["v"].alias(name) for name, t in fields.items()]
+    return table.select("stream", "seq", *cols)

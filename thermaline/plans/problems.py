@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermaline.operators.drift import drift_log, header_fields, union_table
+from thermaline.operators.drift import drift_log, fold, header_fields, union_table
 from thermaline.operators.nested import composite_tables, curves_with_software
 from thermaline.operators.regrid import regular_grid
 from thermaline.operators.spikes import Field, flag_implausible
 from thermaline.operators.timestamps import normalise_stamps
-from thermaline.session import table
+from thermaline.session import table, written
 from thermaline.streaming.compact import compact_table
 
 
@@ -77,7 +77,7 @@ def p5_wellbores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return header_fields(table(spark, sf_dir, "header_files"), "stream_id", "file_seq", "header")
+    return written(header_fields(table(spark, sf_dir, "header_files"), "stream_id", "file_seq", "header"), "headers")  # each header is parsed once
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_table(_headers(spark, sf_dir)).select(F.col("stream").alias("stream_id"), F.col("seq").alias("file_seq"), F.to_json("fields").alias("fields"))
+    """The union table, one row for each file and field: the field's type in the union schema and whether the file has a value."""
+    facts = _headers(spark, sf_dir)
+    cells = union_table(facts).select("stream", "seq", F.explode("fields").alias("field", "value")).join(fold(facts).select("stream", "field", "kind"), ["stream", "field"])
+    return cells.select(F.col("stream").alias("stream_id"), F.col("seq").alias("file_seq"), "field", "kind", F.col("value").isNotNull().alias("there"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +110,7 @@ FROM g LEFT JOIN c ON g.run_id = c.run_id AND g.cell = c.cell
 _SQL_P7 = r"""
 WITH b AS (SELECT blob_id, string_split(body, chr(10)) AS lines FROM small_files WHERE body IS NOT NULL),
 l AS (SELECT blob_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM b),
-f AS (SELECT blob_id, line_no, list_transform(string_split(regexp_replace(line, '\r$', ''), ';'), x -> trim(x, ' ' || chr(9) || chr(13))) AS p FROM l),
+f AS (SELECT blob_id, line_no, [trim(x, ' ' || chr(9) || chr(13)) FOR x IN string_split(regexp_replace(line, '\r$', ''), ';')] AS p FROM l),
 r AS (
   SELECT blob_id, line_no, p[1] AS device, try_cast(p[2] AS HUGEINT) AS no, try_cast(replace(p[3], 'Z', '+00:00') AS TIMESTAMPTZ) AS t,
     try_cast(replace(p[4], ',', '.') AS DOUBLE) AS st, try_cast(replace(p[5], ',', '.') AS DOUBLE) AS ast
@@ -117,6 +120,69 @@ SELECT m[1] AS blob_id, CAST(m[2] AS BIGINT) AS line_no FROM k
 """
 
 
+_SQL_FACTS = """
+WITH RECURSIVE raw AS (SELECT DISTINCT stream_id, file_seq, header::JSON AS h FROM header_files WHERE stream_id IS NOT NULL AND file_seq IS NOT NULL AND header IS NOT NULL AND json_type(header) = 'OBJECT'),
+node AS (
+  SELECT stream_id, file_seq, '' AS field, h AS v FROM raw
+  UNION ALL SELECT stream_id, file_seq, CASE WHEN field = '' THEN k ELSE field || ':' || k END, v -> ('$."' || k || '"') FROM (SELECT stream_id, file_seq, field, v, unnest(json_keys(v)) AS k FROM node WHERE json_type(v) = 'OBJECT')
+),
+leaf AS (SELECT DISTINCT stream_id, file_seq, field, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type,
+  CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS value FROM node WHERE json_type(v) <> 'OBJECT'),
+files AS (SELECT DISTINCT stream_id, file_seq FROM raw)
+"""
+
+_SQL_P6 = _SQL_FACTS + """,
+span AS (SELECT stream_id, field, min(file_seq) AS f, max(file_seq) AS l FROM leaf GROUP BY stream_id, field),
+ends AS (SELECT stream_id, min(file_seq) AS lo, max(file_seq) AS hi FROM files GROUP BY stream_id),
+gone AS (SELECT s.stream_id, (SELECT min(file_seq) FROM files x WHERE x.stream_id = s.stream_id AND x.file_seq > s.l) AS seq, s.field, a.type, a.value FROM span s JOIN leaf a ON a.stream_id = s.stream_id AND a.field = s.field AND a.file_seq = s.l JOIN ends e ON e.stream_id = s.stream_id WHERE s.l < e.hi),
+born AS (SELECT s.stream_id, s.f AS seq, s.field, a.type, a.value FROM span s JOIN leaf a ON a.stream_id = s.stream_id AND a.field = s.field AND a.file_seq = s.f JOIN ends e ON e.stream_id = s.stream_id WHERE s.f > e.lo),
+gk AS (SELECT *, CASE WHEN type <> 'null' THEN row_number() OVER (PARTITION BY stream_id, seq, type, value ORDER BY field) END AS k FROM gone),
+bk AS (SELECT *, CASE WHEN type <> 'null' THEN row_number() OVER (PARTITION BY stream_id, seq, type, value ORDER BY field) END AS k FROM born),
+moved AS (SELECT coalesce(g.stream_id, b.stream_id) AS stream_id, coalesce(g.seq, b.seq) AS file_seq, coalesce(g.field, '') AS old_name, coalesce(b.field, '') AS new_name
+  FROM gk g FULL JOIN bk b ON g.stream_id = b.stream_id AND g.seq = b.seq AND g.type = b.type AND g.value = b.value AND g.k = b.k),
+turn AS (SELECT stream_id, file_seq, field, type, lag(type) OVER (PARTITION BY stream_id, field ORDER BY file_seq) AS before FROM leaf WHERE type <> 'null')
+SELECT stream_id, file_seq, CASE WHEN new_name = '' THEN 'removed' WHEN old_name = '' THEN 'added' ELSE 'renamed' END AS change_kind, old_name, new_name FROM moved
+UNION ALL SELECT stream_id, file_seq, 'type', field, field FROM turn WHERE type <> before
+"""
+
+_SQL_P6_TABLE = _SQL_FACTS + """,
+kind AS (SELECT stream_id, field, max(CASE type WHEN 'null' THEN 0 WHEN 'boolean' THEN 1 WHEN 'number' THEN 2 WHEN 'string' THEN 3 ELSE 4 END) AS kind FROM leaf GROUP BY stream_id, field)
+SELECT f.stream_id, f.file_seq, k.field, CASE k.kind WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'number' WHEN 3 THEN 'string' ELSE 'array' END AS kind, coalesce(a.type <> 'null', false) AS there
+FROM files f JOIN kind k ON f.stream_id = k.stream_id LEFT JOIN leaf a ON a.stream_id = f.stream_id AND a.file_seq = f.file_seq AND a.field = k.field
+"""
+
+_ITEMS = "[x FOR x IN (CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') ELSE [{0}] END) IF x IS NOT NULL AND json_type(x) <> 'NULL' AND CAST(x AS VARCHAR) NOT IN ('{{}}', '[]')]"
+
+
+def _sql_level(parent: str, table: str, container: str, name: str, keys: list[str]) -> str:
+    """Elements of one level below a parent's containers, numbered over all of them."""
+    ks = ", ".join(keys)
+    return f"""
+{table}_s AS (SELECT {ks}, generate_subscripts(l, 1) AS s, unnest(l) AS c FROM (SELECT {ks}, {_ITEMS.format(f"(v -> '$.{container}')")} AS l FROM {parent} WHERE json_type(v) = 'OBJECT')),
+{table}_e AS (SELECT {ks}, s, generate_subscripts(l, 1) AS i, unnest(l) AS v FROM (SELECT {ks}, s, {_ITEMS.format(f"(c -> '$.{name}')")} AS l FROM {table}_s WHERE json_type(c) = 'OBJECT')),
+{table} AS (SELECT {ks}, row_number() OVER (PARTITION BY {ks} ORDER BY s, i) AS {table}_no, v FROM {table}_e)"""
+
+
+_SQL_LEVELS = f"""
+WITH one AS (SELECT raw_id, min(body) AS body FROM witsml_raw WHERE raw_id IS NOT NULL AND body IS NOT NULL GROUP BY raw_id),
+bare AS (SELECT raw_id, ltrim(body, chr(65279)) AS b FROM one),
+text AS (SELECT raw_id, CASE WHEN json_valid(b) THEN CASE WHEN json_type(b) = 'VARCHAR' THEN ltrim(b::JSON ->> '$', chr(65279)) ELSE b END END AS b FROM bare),
+root AS (SELECT raw_id, r AS v FROM (SELECT raw_id, unnest({_ITEMS.format("(b::JSON -> '$.WITSMLComposite')")}) AS r FROM text WHERE b IS NOT NULL AND json_valid(b) AND json_type(b) = 'OBJECT')),
+{_sql_level("root", "well", "wellSet", "well", ["raw_id"])},
+{_sql_level("well", "wellbore", "wellboreSet", "wellbore", ["raw_id", "well_no"])},
+{_sql_level("wellbore", "log", "wellLogSet", "wellLog", ["raw_id", "well_no", "wellbore_no"])},
+curve AS (SELECT raw_id, well_no, wellbore_no, log_no, generate_subscripts(l, 1) AS curve_no, unnest(l) AS v FROM (SELECT *, {_ITEMS.format("(v -> '$.logCurveInfo')")} AS l FROM log WHERE json_type(v) = 'OBJECT')),
+custom AS (SELECT raw_id, well_no, wellbore_no, log_no, v, CASE WHEN json_type(v -> '$.customData') = 'VARCHAR' THEN CASE WHEN json_valid(v ->> '$.customData') THEN (v ->> '$.customData')::JSON END ELSE v -> '$.customData' END AS c FROM log),
+soft AS (SELECT raw_id, well_no, wellbore_no, log_no, coalesce(max(coalesce(p -> '$.SystemSettings' ->> '$.softwareVersion', p ->> '$."SystemSettings:softwareVersion"')), min(v ->> '$."customData:SystemSettings:softwareVersion"')) AS version
+  FROM (SELECT *, unnest(CASE WHEN c IS NULL THEN ['null'::JSON] WHEN json_type(c) = 'ARRAY' THEN json_extract(c, '$[*]') ELSE [c] END) AS p FROM custom) GROUP BY raw_id, well_no, wellbore_no, log_no)
+"""
+
+_SQL_P5 = _SQL_LEVELS + """
+SELECT raw_id, well_no, wellbore_no, log_no, curve_no, coalesce(CASE WHEN json_type(curve.v -> '$.mnemonic') = 'OBJECT' THEN curve.v -> '$.mnemonic' ->> '$."#text"' WHEN json_type(curve.v) = 'OBJECT' THEN curve.v ->> '$.mnemonic' ELSE curve.v ->> '$' END, '') AS mnemonic, coalesce(version, '') AS software_version
+FROM curve JOIN soft USING (raw_id, well_no, wellbore_no, log_no)
+"""
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_statuses": p1_statuses, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_grid": p3_grid,
@@ -127,5 +193,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"SELECT run_id, slot_us FROM ({_SQL_P3_GRID}) WHERE readings = 0",
-        "p3_grid": _SQL_P3_GRID, "p7_found": _SQL_P7,
+        "p3_grid": _SQL_P3_GRID, "p5_found": _SQL_P5, "p5_wellbores": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.name' AS name FROM wellbore",
+        "p5_logs": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, log_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.creationDate' AS creation_date, version AS software_version FROM log JOIN soft USING (raw_id, well_no, wellbore_no, log_no)",
+        "p6_found": _SQL_P6, "p6_table": _SQL_P6_TABLE, "p7_found": _SQL_P7,
     }
