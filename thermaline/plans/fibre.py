@@ -25,6 +25,8 @@ SECTIONS = {"cold": COLD, "warm": WARM}
 GRID_SECTIONS = {"tax": [(2.0, 20.0), (80.0, 96.0)], "discount": [(30.0, 60.0)]}
 VAR = {"st": 1e-4, "ast": 2e-4}  # variances as shares of the intensity
 ALPHA_VAR = 1e-12
+#: Factor of the grid's means, so that none lies on the edge between two rounded values.
+SCALE = 1.0471975511965976
 
 
 def trace(spark: SparkSession, sf_dir: str, noisy: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -49,8 +51,8 @@ def trace(spark: SparkSession, sf_dir: str, noisy: bool = True) -> tuple[DataFra
 def grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``meas(ix, x, time, st, ast, n)`` and ``series(time, tax, discount)``, both by quarter."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("ix"), F.date_trunc("quarter", F.col("l_shipdate").cast("timestamp")).alias("time"), "l_extendedprice", "l_discount", "l_tax")
-    meas = rows.groupBy("ix", "time").agg(F.avg("l_extendedprice").alias("st"), (F.avg("l_discount") + 1.0).alias("ast"), F.count("*").alias("n"))
-    series = rows.groupBy("time").agg((F.avg("l_tax") * 100).alias("tax"), (F.avg("l_discount") * 100).alias("discount"))
+    meas = rows.groupBy("ix", "time").agg((F.avg("l_extendedprice") * SCALE).alias("st"), ((F.avg("l_discount") + 1.0) * SCALE).alias("ast"), F.count("*").alias("n"))
+    series = rows.groupBy("time").agg((F.avg("l_tax") * (100 * SCALE)).alias("tax"), (F.avg("l_discount") * (100 * SCALE)).alias("discount"))
     return meas.withColumn("x", F.col("ix") * 2.0), series
 
 
@@ -86,10 +88,10 @@ def _trace_sql(noisy: bool = True) -> str:
     return _TRACE.format(**out)
 
 
-_GRID = """
+_GRID = f"""
 l AS (SELECT CAST(l_quantity AS INT) AS ix, year(l_shipdate) * 10 + quarter(l_shipdate) AS quarter, l_extendedprice AS p, l_discount AS d, l_tax AS t FROM lineitem),
-g AS (SELECT ix, ix * 2.0::DOUBLE AS x, quarter, avg(p) AS st, avg(d) + 1.0 AS ast, count(*) AS n FROM l GROUP BY ix, quarter),
-s AS (SELECT quarter, avg(t) * 100 AS tax, avg(d) * 100 AS discount FROM l GROUP BY quarter),
+g AS (SELECT ix, ix * 2.0::DOUBLE AS x, quarter, avg(p) * {SCALE}::DOUBLE AS st, (avg(d) + 1.0) * {SCALE}::DOUBLE AS ast, count(*) AS n FROM l GROUP BY ix, quarter),
+s AS (SELECT quarter, avg(t) * {100 * SCALE}::DOUBLE AS tax, avg(d) * {100 * SCALE}::DOUBLE AS discount FROM l GROUP BY quarter),
 z AS (SELECT * FROM (VALUES ('tax', 1, 2.0::DOUBLE, 20.0::DOUBLE), ('tax', 2, 80.0, 96.0), ('discount', 1, 30.0, 60.0)) AS z(section, stretch_id, x_start, x_stop)),
 m AS (SELECT z.section, z.stretch_id, g.ix, g.x, g.quarter, g.st, g.ast, g.n, CASE WHEN z.section = 'tax' THEN s.tax ELSE s.discount END AS bath
   FROM g JOIN z ON g.x BETWEEN z.x_start AND z.x_stop JOIN s ON g.quarter = s.quarter)
