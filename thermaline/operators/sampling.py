@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thermaline.operators import arrowhead
 from thermaline.operators.calibration import ZERO_C, Result, log_ratio
@@ -67,6 +68,11 @@ def _parameters(result: Result, samples: int, seed: int, draw: Draw, certain: bo
     return shared.select("mc", "_shared"), own.select("time", "mc", *out)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows by time over as many tasks as a shuffle has: samples make them many times larger, which their size now doesn't show."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "time")
+
+
 def _drawn(c: str, seed: int, draw: Draw) -> Column:
     return F.col(c) + F.sqrt(f"{c}_v") * normal(draw, seed, c, F.col("mc"), F.col("ix"), F.unix_micros("time"))
 
@@ -88,7 +94,7 @@ def sample_single(result: Result, samples: int = 100, seed: int = 0, draw: Draw
     """``(ix, x, time, mc, tmpf, tmpf_mc)``: temperatures of drawn parameters and intensities. Given parameters are drawn by their variance."""
     f = result.fit
     shared, own = _parameters(result, samples, seed, draw, exclude_parameter_uncertainty)
-    rows = result.temperature.select("ix", "x", "time", "tmpf", *[c for a in ("st", "ast") for c in (a, f"{a}_v")]).join(own, "time").join(F.broadcast(shared), "mc")
+    rows = _spread(result.temperature.select("ix", "x", "time", "tmpf", *[c for a in ("st", "ast") for c in (a, f"{a}_v")])).join(own, "time").join(F.broadcast(shared), "mc")
     gamma = _gamma(result)
     if "gamma" not in f.shared and not exclude_parameter_uncertainty:
         gamma = gamma + f.get("gamma")[1] ** 0.5 * normal(draw, seed, "gamma", F.col("mc"))
@@ -111,7 +117,7 @@ def sample_double(result: Result, samples: int = 100, seed: int = 0, draw: Draw
     shared, own = _parameters(result, samples, seed, draw, exclude_parameter_uncertainty)
     labels = ("st", "ast", "rst", "rast")
     rows = result.temperature.select("ix", "x", "time", "tmpf", "tmpb", "tmpw", *[c for a in labels for c in (a, f"{a}_v")])
-    rows = rows.join(own, "time").join(F.broadcast(shared), "mc")
+    rows = _spread(rows).join(own, "time").join(F.broadcast(shared), "mc")
     where = result.params_x.select("ix", "alpha", "alpha_var")
     if f.fixed.alpha is None and f.geo.columns:
         at = [(ix, f.shared.index(f.geo.alphas[k]) + 1 if k >= 0 else 0) for ix, k in f.geo.columns.items()]
@@ -132,15 +138,18 @@ def sample_double(result: Result, samples: int = 100, seed: int = 0, draw: Draw
 
 def percentiles(values: Column, points: tuple[float, ...]) -> Column:
     """Percentiles (0 to 100) of an array, with linear interpolation; nulls are left out, an empty array gives nulls."""
-    s, n = F.array_sort(F.filter(values, lambda v: v.isNotNull())), None
-    n = F.size(s)
-    out = []
-    for p in points:
-        at = (n - 1) * (p / 100.0)
-        lo = F.floor(at).cast("int")
-        a, b = F.get(s, lo), F.get(s, F.least(lo + 1, n - 1))
-        out.append(F.when(n > 0, a + (b - a) * (at - lo)))
-    return F.array(*out)
+
+    def of(s: Column) -> Column:
+        out, n = [], F.size(s)
+        for p in points:
+            at = (n - 1) * (p / 100.0)
+            lo = F.floor(at).cast("int")
+            a, b = F.get(s, lo), F.get(s, F.least(lo + 1, n - 1))
+            out.append(F.when(n > 0, a + (b - a) * (at - lo)))
+        return F.array(*out)
+
+    # bound as a variable, so that the array is sorted once
+    return F.get(F.transform(F.array(F.sort_array(F.array_compact(values))), of), F.lit(0))
 
 
 def monte_carlo_single(result: Result, samples: int = 100, conf_ints: tuple[float, ...] = (2.5, 97.5), **kw) -> DataFrame:
@@ -164,7 +173,7 @@ def monte_carlo_double(result: Result, samples: int = 100, conf_ints: tuple[floa
 
 def double_statistics(drawn: DataFrame, conf_ints: tuple[float, ...] = (2.5, 97.5)) -> DataFrame:
     f, b = F.col("tmpf_mc") - F.col("tmpf"), F.col("tmpb_mc") - F.col("tmpb")
-    lists = [F.array_sort(F.collect_list(F.struct("mc", F.col("tmpf_mc").alias("f"), F.col("tmpb_mc").alias("b")))).alias("_s")] if conf_ints else []
+    lists = [F.sort_array(F.collect_list(F.struct("mc", F.col("tmpf_mc").alias("f"), F.col("tmpb_mc").alias("b")))).alias("_s")] if conf_ints else []
     rows = drawn.groupBy("ix", "x", "time").agg(F.first("tmpf").alias("tmpf"), F.first("tmpb").alias("tmpb"), F.var_samp(f).alias("tmpf_mc_var"), F.var_samp(b).alias("tmpb_mc_var"), F.covar_samp(f, b).alias("_fb"), *lists)
     vf, vb = F.col("tmpf_mc_var"), F.col("tmpb_mc_var")
     rows = rows.withColumn("_wf", (1 / vf) / (1 / vf + 1 / vb)).withColumn("_wb", 1 - F.col("_wf"))
@@ -201,8 +210,8 @@ def average(drawn: DataFrame, over: str = "time", kind: int = 1, conf_ints: tupl
         raise ValueError("average over time or x, of kind 1 or 2")
     keys = ["ix", "x"] if over == "time" else ["time"]
     labels = [c for c in ("tmpf", "tmpb") if f"{c}_mc" in drawn.columns]
-    cell = drawn.groupBy("ix", "x", "time").agg(*[F.var_samp(F.col(f"{c}_mc") - F.col(c)).alias(f"_q_{c}") for c in labels])
-    rows = drawn.join(cell, ["ix", "x", "time"])
+    cell = Window.partitionBy("time", "ix", "x")  # as many rows as samples; drawn once, and where they are already partitioned by time
+    rows = drawn.withColumns({f"_q_{c}": F.var_samp(F.col(f"{c}_mc") - F.col(c)).over(cell) for c in labels})
     both = len(labels) == 2
     if kind == 1:
         if both:
