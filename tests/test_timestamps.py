@@ -7,6 +7,7 @@ from zoneinfo import ZoneInfo, available_timezones
 import pandas as pd
 import pytest
 
+from thermaline.operators import timestamps
 from thermaline.operators.timestamps import ABBREVIATIONS, normalise_stamps
 
 DATA = "/root/testdata/sf0.01"
@@ -137,3 +138,44 @@ def test_mixture_learns_a_source_and_marks_what_stays_open(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, dev string, s string, z string")
     assert normalise_stamps(df, "id", "dev", {"s": "z"}).count() == 0
+
+
+def numeric(spark, stamps, order=None):
+    """Status and day of 'a-b-2024 10:00:00' stamps of one source that arrived on 2024-05-06."""
+    rows = spark.createDataFrame([(i, "s", t, "UTC", datetime(2024, 5, 6)) for i, t in enumerate(stamps)], "id long, src string, stamp string, zone string, arrived timestamp")
+    orders = spark.createDataFrame([("s", order)], "src string, o string") if order else None
+    got = normalise_stamps(rows, "id", "src", {"stamp": "zone"}, "arrived", orders).collect()
+    return {r.row_id: (r.status, datetime.fromtimestamp(r.utc_us / 1e6, timezone.utc).strftime("%m-%d") if r.utc_us is not None else None) for r in got}
+
+
+def test_a_declared_order_is_a_strong_but_finite_prior(spark, monkeypatch):
+    stamps = ["06-05-2024 10:00:00"] + ["05-06-2024 10:00:00"] * 40
+    assert set(numeric(spark, stamps, "dmy").values()) == {("ok", "05-06"), ("ok", "06-05")}
+    assert numeric(spark, stamps, "dmy")[1] == ("ok", "06-05")  # though May is when it arrived
+    monkeypatch.setattr(timestamps, "DECLARED", 3.0)
+    monkeypatch.setattr(timestamps, "BROKEN", 0.0)
+    assert numeric(spark, stamps, "dmy")[1] == ("ok", "05-06")  # enough stamps outweigh a weak one
+
+
+def test_what_the_declared_order_cannot_read_is_broken_and_not_of_another_order(spark):
+    stamps = ["25-13-2024 10:00:00", "05-25-2024 10:00:00", "25-05-2024 10:00:00"]
+    assert numeric(spark, stamps, "dmy") == {0: ("impossible", None), 1: ("impossible", None), 2: ("ok", "05-25")}
+    assert numeric(spark, stamps)[1] == ("ok", "05-25") and numeric(spark, stamps)[0][0] == "impossible"
+
+
+def test_without_a_declared_order_the_mixture_decides_or_leaves_it_open(spark):
+    clear = ["25-04-2024 10:00:00"] * 30
+    assert numeric(spark, [*clear, "04-05-2024 10:00:00"])[30] == ("ok", "05-04")
+    assert numeric(spark, ["05-05-2024 10:00:00"])[0] == ("ok", "05-05")
+    assert numeric(spark, ["07-05-2024 10:00:00", "05-07-2024 10:00:00"])[0][0] in ("ok", "ambiguous")
+
+
+def test_no_stamp_matches_two_formats(spark):
+    from pyspark.sql import functions as F
+
+    from thermaline.operators.timestamps import FORMATS, _clean
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/recordings.parquet")
+    stamps = rows.select(_clean(F.col("filename_tstamp")).alias("s")).union(rows.select(_clean(F.col("netcdf_time"))))
+    several = sum((F.col("s").rlike(rx).cast("int") for _, rx, _ in FORMATS.values()), F.lit(0))
+    assert stamps.filter(several > 1).count() == 0

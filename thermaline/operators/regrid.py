@@ -46,7 +46,7 @@ def regular_grid(
     if row_id:  # all rows of one id lie at one time, so this needs no exchange of its own
         rows = rows.groupBy("_k", "_t", "_id").agg(F.first("_v").alias("_v"), F.min("_p").alias("_p"))
     at = rows.groupBy("_k", "_t").agg((F.avg if kind == "gauge" else F.max)("_v").alias("_v"), F.count("*").alias("_n"), F.min("_p").alias("_p"))
-    period = rows.groupBy(F.col("_k").alias("_kp")).agg(F.min("_p").alias("_pp"))
+    period = at.groupBy(F.col("_k").alias("_kp")).agg(F.min("_p").alias("_pp"))
     at = at.join(period, F.col("_k") == F.col("_kp")).drop("_kp", "_p").withColumnRenamed("_pp", "_p")
     at = at.withColumn("_c", F.expr("floor(_t / _p)")).withColumn("_slice", F.expr(f"floor(_c / {slice_cells})"))
 
@@ -59,7 +59,9 @@ def regular_grid(
 
     # each interval gives one piece for every cell that it touches; the first reading gives its own cell only
     step = F.when(F.col("_v") >= F.col("_v0"), F.col("_v") - F.col("_v0")).otherwise(F.col("_v")) if kind == "counter" else None
-    pieces = linked.withColumn("_cell", F.explode(F.expr("sequence(floor(coalesce(_t0, _t) / _p), _c)")))
+    pieces = linked.withColumn("_c0", F.expr("floor(coalesce(_t0, _t) / _p)"))
+    pieces = pieces.withColumn("_s", F.explode(F.expr(f"sequence(floor(_c0 / {slice_cells}), _slice)")))  # a long gap never is one long array
+    pieces = pieces.withColumn("_cell", F.explode(F.expr(f"sequence(greatest(_c0, _s * {slice_cells}), least(_c, _s * {slice_cells} + {slice_cells - 1}))")))
     overlap = F.expr("least(_t, (_cell + 1) * _p) - greatest(_t0, _cell * _p)").cast("double")
     bridged = F.coalesce(F.col("_t") - F.col("_t0") <= F.lit(longest_us), F.lit(False)) if longest_us is not None else F.col("_t0").isNotNull()
     if kind == "counter":

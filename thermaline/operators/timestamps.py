@@ -1,10 +1,12 @@
 """Mixed timestamp formats and time zones, brought to UTC microseconds.
 
-Every stamp is matched against a list of formats. Where a format leaves open which number is the day and which
-the month, each order that gives a possible date is one interpretation. Their shares are a mixture per source,
-fitted by expectation-maximisation: a source's declared order is its prior, the stamp's distance from the record's
-arrival its likelihood, and a stamp is read by the posterior's best interpretation or marked ambiguous. The
-wall time is then placed in its zone; wall times that the zone skips or repeats are marked as well.
+Every stamp is matched against a list of formats, which no stamp matches two of. Where a format leaves open which number
+is the day and which the month, each order that gives a possible date is one interpretation. Their shares are a
+mixture per source, fitted by expectation-maximisation over all its stamps: an interpretation's likelihood is the stamp's
+nearness to the record's arrival, its prior a pseudo-count, large but finite for the order that a source declares. A
+further component stands for broken stamps, those that the declared order can't read. A stamp is read by the
+posterior's best interpretation, or marked impossible or ambiguous. The wall time is then placed in its zone;
+wall times that the zone skips or repeats are marked as well.
 
 The mixture is fitted on counts of stamps by source and likelihood pattern (a partial aggregation, so a hot source is
 no hot task), in one array expression per source. Everything else is one projection without Python.
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
+#: More declared orders than this are joined by a shuffle, fewer, once counted, are broadcast.
+MOST_DECLARED = 100_000
 
 # Usual European and North American abbreviations, minutes ahead of UTC.
 ABBREVIATIONS = {
@@ -45,6 +49,9 @@ FORMATS: dict[str, tuple[str, str, str]] = {
     "triple": ("triple", rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}})[T ]\s*{_TIME}\s*([AP]M)?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7|$8|$9"),
 }
 ORDERS = ("dmy", "mdy", "ymd")
+#: Components of the mixture, and pseudo-counts of its prior: of a declared order, of broken stamps beside one, of any other.
+COMPONENTS = (*ORDERS, "broken")
+DECLARED, BROKEN, OPEN = 1e6, 1e3, 1.0
 _SINCE = rf"^(-?\d+(?:\.\d+)?)\s*(MICROSECONDS?|MILLISECONDS?|SECONDS?|MINUTES?|HOURS?|DAYS?)\s+SINCE\s+(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:[T ]{_TIME}{_ZONE})?$"
 # Microseconds of each unit.
 _UNITS = {"MICRO": 1, "MILLI": 1000, "SECON": 1_000_000, "MINUT": 60_000_000, "HOUR": 3_600_000_000, "DAY": DAY_US}
@@ -136,8 +143,8 @@ def normalise_stamps(
     """Rows ``(row_id, field, utc_us, status, format)``, one for each stamp column of each record.
 
     ``stamps`` names each stamp column and the column with its zone. ``orders(source, date_order)`` declares how
-    sources write numeric dates; a declared order outweighs everything else, sources without one are decided by
-    the mixture. ``utc_us`` is null unless ``status`` is ``ok``; else it is ``missing`` (null, blank), ``unreadable``,
+    sources write numeric dates, as a strong prior of their mixture: only stamps in their hundred thousands could outweigh it. A
+    stamp that the declared order can't read is impossible, not one of another order. ``utc_us`` is null unless ``status`` is ``ok``; else it is ``missing`` (null, blank), ``unreadable``,
     ``impossible`` (no such date or clock time), ``no_zone``, ``skipped``, ``repeated`` or ``ambiguous`` (no
     interpretation has a posterior of ``sure``). Records repeated under one id count once; a null source shares one
     mixture; further columns are ignored; an empty table gives an empty result.
@@ -163,27 +170,35 @@ def normalise_stamps(
     is_triple = F.coalesce(F.col("_f.kind") == "triple", F.lit(False))
     read = read.withColumns({"_clock": clock, "_day": fixed, "_cand": F.when(is_triple, F.array(*[triple[o] for o in ORDERS])), "_in": part(8), "_fmt": F.when(F.col("_epoch").isNotNull(), "epoch").otherwise(F.col("_f.name"))}).drop("_f")
 
-    # likelihood of each interpretation: a stamp lies near its record's arrival, in powers of the distance in days
-    lik = F.transform(F.col("_cand"), lambda d: F.when(d.isNull(), 0.0).when(F.col("_arr").isNull(), 1.0).otherwise(F.pow(F.lit(2.0), -F.least(F.lit(10.0), F.floor(F.log2(1 + F.abs(F.floor(F.col("_arr") / DAY_US) - d)))))))
-    read = read.withColumn("_lik", lik)
-    counts = read.filter("_lik IS NOT NULL").groupBy("_src", "_lik").agg(F.count("*").alias("_n"))
-    mixed = counts.groupBy("_src").agg(F.collect_list(F.struct("_lik", "_n")).alias("_cells"))  # at most 11^3 patterns a source
     if orders is not None:
         declared = orders.select(F.col(orders.columns[0]).alias("_src_o"), F.lower(F.col(orders.columns[1])).alias("_order")).dropDuplicates(["_src_o"])
-        mixed = mixed.join(declared, F.col("_src").eqNullSafe(F.col("_src_o")), "left").drop("_src_o")
+        declared = declared.withColumn("_order", F.array_position(F.array(*[F.lit(o) for o in ORDERS]), F.col("_order"))).filter("_order > 0")
+        # how a source writes goes to its stamps by way of the mixture, so only likelihoods need to know whether one is declared
+        read = read.join(F.broadcast(declared) if declared.limit(MOST_DECLARED + 1).count() <= MOST_DECLARED else declared, F.col("_src").eqNullSafe(F.col("_src_o")), "left").drop("_src_o")
     else:
-        mixed = mixed.withColumn("_order", F.lit(None).cast("string"))
-    known = F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))
-    mixed = mixed.withColumn("_prior", F.array(*[F.when(~known, 1.0).when(F.col("_order") == o, 1.0).otherwise(0.0) for o in ORDERS]))
-    mixed = mixed.select(F.col("_src").alias("_src_m"), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("_prior"), lambda w, _: _em_round(w, F.col("_cells"), F.col("_prior"))).alias("_w"))
-    read = read.join(mixed, F.col("_src").eqNullSafe(F.col("_src_m")), "left").drop("_src_m")
+        read = read.withColumn("_order", F.lit(None).cast("int"))
+
+    # likelihood of each interpretation: a stamp lies near its record's arrival, in powers of the distance in days
+    near = F.transform(F.col("_cand"), lambda d: F.when(d.isNull(), 0.0).when(F.col("_arr").isNull(), 1.0).otherwise(F.pow(F.lit(2.0), -F.least(F.lit(10.0), F.floor(F.log2(1 + F.abs(F.floor(F.col("_arr") / DAY_US) - d)))))))
+    unread = F.when(F.col("_order").isNotNull() & F.get("_cand", F.col("_order") - 1).isNull(), 1.0).otherwise(0.0)
+    read = read.withColumn("_lik", F.when(F.col("_cand").isNotNull(), F.concat(near, F.array(unread))))
+    counts = read.filter("_lik IS NOT NULL").groupBy("_src", "_lik").agg(F.count("*").alias("_n"), F.first("_order").alias("_order"))
+    mixed = counts.groupBy("_src").agg(F.collect_list(F.struct("_lik", "_n")).alias("_cells"), F.first("_order").alias("_order"))  # at most 2 * 12^3 patterns a source
+    known = F.col("_order").isNotNull()
+    prior = [F.when(F.col("_order") == i + 1, DECLARED).otherwise(OPEN) for i in range(len(ORDERS))] + [F.when(known, BROKEN).otherwise(0.0)]
+    mixed = mixed.withColumn("_prior", F.array(*prior))
+    total = F.aggregate("_prior", F.lit(0.0), lambda a, x: a + x)
+    start = F.transform("_prior", lambda x: x / total)
+    mixed = mixed.select(F.col("_src").alias("_src_m"), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda w, _: _em_round(w, F.col("_cells"), F.col("_prior"))).alias("_w"))
+    read = read.drop("_order").join(mixed, F.col("_src").eqNullSafe(F.col("_src_m")), "left").drop("_src_m")
 
     joint = F.zip_with("_lik", "_w", lambda x, y: x * y)
     read = read.withColumn("_joint", joint).withColumn("_best", F.array_max("_joint")).withColumn("_total", F.aggregate("_joint", F.lit(0.0), lambda s, x: s + x))
-    # interpretations that agree on the date leave nothing open
-    agreed = F.array_size(F.array_distinct(F.filter(F.zip_with("_cand", "_joint", lambda d, j: F.when(j > 0, d)), lambda d: d.isNotNull()))) == 1
+    # interpretations that agree on the date leave nothing open, unless the stamp may be broken
+    agreed = (F.array_size(F.array_distinct(F.filter(F.zip_with(F.slice("_cand", 1, len(ORDERS)), F.slice("_joint", 1, len(ORDERS)), lambda d, j: F.when(j > 0, d)), lambda d: d.isNotNull()))) == 1) & (F.get("_joint", F.lit(len(ORDERS))) == 0)
     read = read.withColumns({
-        "_day": F.when(F.col("_cand").isNull(), F.col("_day")).when(F.col("_best") > 0, F.try_element_at(F.filter(F.zip_with("_cand", "_joint", lambda d, j: F.when(j == F.col("_best"), d)), lambda d: d.isNotNull()), F.lit(1))),
+        # the broken component has no date
+        "_day": F.when(F.col("_cand").isNull(), F.col("_day")).when(F.col("_best") > 0, F.get("_cand", F.array_position("_joint", F.col("_best")).cast("int") - 1)),
         "_open": F.coalesce(F.col("_cand").isNotNull() & (F.col("_best") > 0) & ~agreed & (F.col("_best") < sure * F.col("_total")), F.lit(False)),
     })
     read = read.withColumn("_wall", F.col("_day") * DAY_US + F.col("_clock")).drop("_cand", "_lik", "_joint", "_w", "_best", "_total")
@@ -207,7 +222,7 @@ def normalise_stamps(
 
 def _em_round(w: Column, cells: Column, prior: Column) -> Column:
     """One round: posteriors of each cell under the weights, then new weights from the expected counts and the prior."""
-    k = range(len(ORDERS))
+    k = range(len(COMPONENTS))
     total = lambda cell: sum((cell["_lik"][j] * w[j] for j in k), F.lit(0.0))
     sums = F.aggregate(
         cells,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thermaline.operators.drift import drift_log, fold, header_fields, union_table
 from thermaline.operators.nested import composite_tables, curves_with_software
@@ -13,6 +14,9 @@ from thermaline.operators.timestamps import normalise_stamps
 from thermaline.session import table, written
 from thermaline.streaming.compact import compact_table
 
+#: Periods that lie in an interval between readings of more than this are uncovered.
+LONGEST_US, COUNTER_LONGEST_US = 300_000_000, 5_400_000_000
+
 
 def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = {"filename_tstamp": "timezone_input_files", "netcdf_time": "timezone_netcdf"}
@@ -53,7 +57,7 @@ def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = table(spark, sf_dir, "probes").filter("probe_id IS NOT NULL").dropDuplicates(["probe_id"])
     readings = table(spark, sf_dir, "probe_readings").join(probes.select("probe_id", (F.col("period_s").cast("long") * 1_000_000).alias("period_us")), "probe_id")
-    return regular_grid(readings, "run_id", "time", "pt100_2", "period_us", row_id="reading_id")
+    return regular_grid(readings, "run_id", "time", "pt100_2", "period_us", row_id="reading_id", longest_us=LONGEST_US)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +68,15 @@ def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select(F.col("series").alias("run_id"), "slot_us", "readings", F.round("mean", 6).alias("mean"), "status")
 
 
+def p3_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter part of the operator: running totals of the events of each type, which start again every day, by the hour."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("time"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    total = F.sum("value").over(Window.partitionBy("event_type", F.to_date("time")).orderBy("time", "event_id"))
+    counter = rows.withColumns({"total": total, "period_us": F.lit(3_600_000_000)})
+    cells = regular_grid(counter, "event_type", "time", "total", "period_us", "counter", "event_id", COUNTER_LONGEST_US)
+    return cells.select(F.col("series").alias("event_type"), "slot_us", "readings", (F.round("increment", 4) + 0.0).alias("increment"), (F.round("covered", 6) + 0.0).alias("covered"), "status")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves_with_software(table(spark, sf_dir, "witsml_raw"), "raw_id", "body").withColumnRenamed("row_id", "raw_id")
 
@@ -95,7 +108,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_table(spark, f"{sf_dir}/small_files.parquet", "blob_id", "body").select(F.col("file_id").alias("blob_id"), "line_no")
 
 
-_SQL_P3_GRID = """
+_SQL_P3_GRID = f"""
 WITH r AS (
   SELECT DISTINCT p.reading_id, p.run_id, epoch_us(p.time) AS t, p.pt100_2 AS v, b.period_s * 1000000 AS per
   FROM probe_readings p JOIN probes b ON p.probe_id = b.probe_id WHERE p.pt100_2 IS NOT NULL AND NOT isnan(p.pt100_2)
@@ -103,10 +116,21 @@ WITH r AS (
 c AS (SELECT run_id, per, t // per AS cell, sum(n) AS readings, avg(v) AS mean FROM a GROUP BY run_id, per, t // per),
 g AS (SELECT run_id, per, unnest(range(min(cell), max(cell) + 1)) AS cell FROM c GROUP BY run_id, per)
 SELECT g.run_id, CAST(g.cell * g.per AS BIGINT) AS slot_us, CAST(coalesce(c.readings, 0) AS BIGINT) AS readings, round(c.mean, 6) AS mean,
-  CASE WHEN c.readings > 0 THEN 'measured' ELSE 'filled' END AS status
+  CASE WHEN c.readings > 0 THEN 'measured' WHEN (SELECT min(t) FROM a WHERE a.run_id = g.run_id AND a.t >= (g.cell + 1) * g.per) - (SELECT max(t) FROM a WHERE a.run_id = g.run_id AND a.t < g.cell * g.per) <= {LONGEST_US} THEN 'filled' ELSE 'uncovered' END AS status
 FROM g LEFT JOIN c ON g.run_id = c.run_id AND g.cell = c.cell
 """
 
+_SQL_P3_COUNTER = f"""
+WITH r AS (SELECT event_type AS k, epoch_us(ts) AS t, sum(coalesce(value, 0.0)) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM events),
+a AS (SELECT k, t, max(v) AS v, count(*) AS n FROM r WHERE k IS NOT NULL GROUP BY k, t),
+i AS (SELECT k, t, v, n, lag(t) OVER w AS t0, lag(v) OVER w AS v0 FROM a WINDOW w AS (PARTITION BY k ORDER BY t)),
+p AS (SELECT *, CASE WHEN v >= v0 THEN v - v0 ELSE v END AS step, unnest(range(coalesce(t0, t) // 3600000000, t // 3600000000 + 1)) AS cell FROM i),
+q AS (SELECT *, least(t, (cell + 1) * 3600000000) - greatest(t0, cell * 3600000000) AS o, t - t0 <= {COUNTER_LONGEST_US} AS ok, cell = t // 3600000000 AS own FROM p),
+c AS (SELECT k, cell, CAST(sum(CASE WHEN own THEN n ELSE 0 END) AS BIGINT) AS readings, sum(CASE WHEN ok THEN step * o / (t - t0) END) AS increment, coalesce(sum(CASE WHEN ok THEN o END), 0) / 3600000000.0 AS covered FROM q GROUP BY k, cell)
+SELECT k AS event_type, CAST(cell * 3600000000 AS BIGINT) AS slot_us, readings, round(increment, 4) + 0.0 AS increment, round(CAST(covered AS DOUBLE), 6) + 0.0 AS covered,
+  CASE WHEN readings > 0 THEN 'measured' WHEN covered > 0 THEN 'filled' ELSE 'uncovered' END AS status FROM c
+"""
+
 _SQL_P7 = r"""
 WITH b AS (SELECT blob_id, string_split(body, chr(10)) AS lines FROM small_files WHERE body IS NOT NULL),
 l AS (SELECT blob_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM b),
@@ -185,7 +209,7 @@ FROM curve JOIN soft USING (raw_id, well_no, wellbore_no, log_no)
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_statuses": p1_statuses, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_grid": p3_grid,
+        "p1_found": p1_found, "p1_statuses": p1_statuses, "p2_found": p2_found, "p2_kinds": p2_kinds, "p3_found": p3_found, "p3_grid": p3_grid, "p3_counter": p3_counter,
         "p5_found": p5_found, "p5_logs": p5_logs, "p5_wellbores": p5_wellbores, "p6_found": p6_found, "p6_table": p6_table, "p7_found": p7_found,
     }
 
@@ -193,7 +217,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"SELECT run_id, slot_us FROM ({_SQL_P3_GRID}) WHERE readings = 0",
-        "p3_grid": _SQL_P3_GRID, "p5_found": _SQL_P5, "p5_wellbores": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.name' AS name FROM wellbore",
+        "p3_grid": _SQL_P3_GRID, "p3_counter": _SQL_P3_COUNTER, "p5_found": _SQL_P5, "p5_wellbores": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.name' AS name FROM wellbore",
         "p5_logs": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, log_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.creationDate' AS creation_date, version AS software_version FROM log JOIN soft USING (raw_id, well_no, wellbore_no, log_no)",
         "p6_found": _SQL_P6, "p6_table": _SQL_P6_TABLE, "p7_found": _SQL_P7,
     }
