@@ -28,6 +28,11 @@ class Mix:
     report: DataFrame  # one row for each target
 
 
+def _check(targets: DataFrame) -> None:
+    if targets.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources in the targets")
+
+
 def mix(sizes: DataFrame, targets: DataFrame, weight: str | None = None, seed: int = 42, bins: int = 4096) -> Mix:
     """Combines ``sizes(doc_id, source, n_tokens)`` by ``targets(source, target_share, max_repeats)``.
 
@@ -38,8 +43,7 @@ def mix(sizes: DataFrame, targets: DataFrame, weight: str | None = None, seed: i
     contributes nothing and the others keep their proportions. Documents without tokens are not used. Repeated targets
     count once.
     """
-    if targets.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources in the targets")
+    _check(targets)
     goal = targets.filter("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").cast("double").alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).cast("long").alias("max_repeats"))
     docs = sizes.filter("n_tokens > 0 AND source IS NOT NULL").withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.sum(F.when(F.col("_w") > 0, F.col("_w") * F.col("n_tokens"))).alias("_weighted"))
@@ -77,6 +81,7 @@ def mix_corpus(documents: DataFrame, targets: DataFrame, seed: int = 42, name: s
 
     ``weight`` is a column of ``documents`` that inclusion within a source is proportional to; by default it is equal.
     """
+    _check(targets)
     listed = F.broadcast(targets.filter("source IS NOT NULL").select("source").distinct())
     columns = ["doc_id", "text", "source"] + ([F.col(weight).cast("double").alias("weight")] if weight else [])
     sizes = token_counts(documents.select(*columns).join(listed, "source", "left_semi"), "doc_id", "text", ["source", "weight"], name, folder)

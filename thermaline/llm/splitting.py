@@ -64,7 +64,8 @@ def split(text: str, c: Codec, limit: int = LIMIT, overlap: int = OVERLAP, least
     """(first byte, end byte, tokens) of each piece; one piece if the text has at most ``limit`` tokens.
 
     Pieces are cut at the strongest place between ``least`` and all of the limit. A piece's tokens are those of its own
-    text, which may differ from the whole text's at its ends; a cut that makes too many is moved left.
+    text, which may differ from the whole text's at its ends; a cut that makes too many is moved left. A limit below
+    the tokens of a single character raises.
     """
     ids = c.ids(text)
     data = text.encode()
@@ -73,13 +74,16 @@ def split(text: str, c: Codec, limit: int = LIMIT, overlap: int = OVERLAP, least
     starts = np.concatenate([[0], np.cumsum(c.lengths[ids])[:-1]])
     at, strength = boundaries(data, starts)
     before = np.searchsorted(starts, at)  # tokens before each place
-    table, pieces, a = SparseTable(strength, len(at)), [], 0
+    widest = int((np.searchsorted(before, before + limit, side="right") - np.arange(len(at))).max())
+    table, pieces, a = SparseTable(strength, widest), [], 0
     while True:
         done = int(np.searchsorted(starts, a))
         if len(ids) - done <= limit + 8:
             own = c.ids(data[a:].decode())
             if len(own) <= limit:
                 return [*pieces, (a, len(data), len(own))]
+        if at[-1] <= a:
+            raise ValueError(f"nothing at byte {a} can be cut into pieces of {limit} tokens")
         longest = limit
         while True:
             lo = max(int(np.searchsorted(before, done + max(int(longest * least), overlap + 1))), int(np.searchsorted(at, a + 1)))
@@ -91,9 +95,13 @@ def split(text: str, c: Codec, limit: int = LIMIT, overlap: int = OVERLAP, least
             if len(own) <= limit:
                 break
             longest = min(longest - 1, int(before[cut]) - done - 1)
-            if longest <= 1:
+            if longest <= 1:  # not even a window of one token fits: the first place of all, a token's end
+                cut = int(np.searchsorted(at, a + 1))
+                own = c.ids(data[a : at[cut]].decode()) if cut < len(at) else c.ids(data[a:].decode())
+                if len(own) > limit:
+                    raise ValueError(f"nothing at byte {a} can be cut into pieces of {limit} tokens")
                 break
-        b = int(at[cut])
+        b = int(at[cut]) if cut < len(at) else len(data)
         pieces.append((a, b, len(own)))
         back = min(overlap, len(own) - 1)
         nxt = b - int(c.lengths[own[len(own) - back :]].sum()) if back > 0 else b
