@@ -1,4 +1,5 @@
 import os
+from decimal import Decimal
 
 from thermaline.streaming.compact import RECORD, compact_table
 
@@ -46,3 +47,30 @@ def test_a_table_without_records_gives_an_empty_one(spark, tmp_path):
     path = str(tmp_path / "small.parquet")
     deliver(spark, path, [[(1, None), (2, "no record")]])
     assert compact_table(spark, path, "blob_id", "body").count() == 0
+
+
+def test_a_later_call_reads_only_what_came_since_and_an_interrupted_batch_is_replaced(spark, tmp_path):
+    path, state = str(tmp_path / "small.parquet"), str(tmp_path / "state")
+    one, two = (LINE.format(i, i, i + 0.5) for i in (1, 2))
+    deliver(spark, path, [[(5, one)]])
+    # what an attempt left that was lost before its batch was done
+    spark.createDataFrame([("x", Decimal(1), 1, 1.0, 1.0, 1, 1)], "device string, record_no decimal(38,0), time_us long, st double, ast double, file_id long, line_no long").write.parquet(f"{state}/batches/batch=0")
+    first = compact_table(spark, path, "blob_id", "body", state=state)
+    assert [(r.file_id, r.line_no) for r in first.collect()] == [(5, 1)]
+    spark.createDataFrame([(4, one + two)], "blob_id long, body string").coalesce(1).write.mode("append").parquet(path)
+    second = compact_table(spark, path, "blob_id", "body", state=state)
+    assert sorted((int(r.record_no), r.file_id, r.line_no) for r in second.collect()) == [(1, 4, 1), (2, 4, 2)]
+    assert sorted(os.listdir(f"{state}/batches")) == ["batch=0", "batch=1"]
+    assert spark.read.parquet(f"{state}/batches/batch=1").count() == 2
+
+
+def test_which_lines_are_records_and_which_are_the_same(spark, tmp_path):
+    good = [
+        "d;1;2024-01-01T00:00:00Z;1,50;2;", " d ; 01 ;2024-01-01 00:00:00; 1.5 ;\t2.0;\r", "d;1;2024-01-01T01:00:00+01:00;15e-1;2.;", "d;1;2024-01-01T01:00:00.000+0100;+1.5;2;", "d;1;2023-12-31T23:00:00-01;1.5;2,;",
+    ]
+    bad = ["d;1;2024-01-01T00:00:00Z;1,5;2", "d;1;2024-01-01T00:00:00Z;1,5;;", ";1;2024-01-01T00:00:00Z;1;2;", "d;x;2024-01-01T00:00:00Z;1;2;", "d;1;2024-13-01T00:00:00Z;1;2;", "d;1;2024-01-01T00:00:00Z;NaN;2;", "d;1;2024-01-01T00:00:00Z;1f;2;", "d;1;2024-01-01;1;2;", "d;1;2024-01-01T00:00:00Z;1;2;3;", "", ";;;;;"]
+    other = ["d;1;2024-01-01T00:00:00.5Z;-0,0;2;", "d;1;2024-01-01T00:00:00.500Z;0;2;"]
+    path = str(tmp_path / "small.parquet")
+    deliver(spark, path, [[(1, "\n".join(bad + good + other)), (2, None), (3, ""), (None, good[0])]])
+    rows = sorted((r.file_id, r.line_no, r.st) for r in compact_table(spark, path, "blob_id", "body").collect())
+    assert rows == [(1, len(bad) + 1, 1.5), (1, len(bad) + len(good) + 1, 0.0)]

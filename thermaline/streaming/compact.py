@@ -18,12 +18,15 @@ from thermaline.session import filesystem, stream_of, work_dir
 RECORD = ["device", "record_no", "time_us", "st", "ast"]
 #: Bytes that a consolidated file should have at most.
 FILE_BYTES = 64 << 20
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\d*[.,]\d+|\d+,\d*)(?:[eE][+-]?\d+)?"
+_STAMP = r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?\s*(?:Z|UTC|[+-]\d\d(?::?\d\d)?)?"
+#: One look at a line decides whether it is a record; only records are split.
+_LINE = rf"^[^;]*[^;\s][^;]*;\s*\d+\s*;\s*{_STAMP}\s*;\s*{_NUMBER}\s*;\s*{_NUMBER}\s*;\s*$"
+_BLANKS = " \t\r\x0b\f"
 
 
 def _number(c: Column) -> Column:
-    point = F.translate(c, ",", ".")
-    return F.when(point.rlike(_NUMBER), point.try_cast("double")) + 0.0  # one zero
+    return F.translate(c, ",", ".").try_cast("double") + 0.0  # one zero
 
 
 def records_of(files: DataFrame, file_id: str, body: str) -> DataFrame:
@@ -33,16 +36,14 @@ def records_of(files: DataFrame, file_id: str, body: str) -> DataFrame:
     and two numbers with decimal comma or point. Lines end with LF or CRLF; all lines count. Null bodies and other
     lines give nothing.
     """
-    lines = files.select(F.col(file_id).cast("long").alias("file_id"), F.posexplode(F.split(F.col(body), "\n")).alias("_n", "_line"))
-    lines = lines.filter(F.col("_line").contains(";")).select("file_id", (F.col("_n") + 1).cast("long").alias("line_no"), F.split(F.regexp_replace("_line", r"\r$", ""), ";").alias("_p"))
-    p = lambda k: F.trim(F.regexp_replace(F.get("_p", F.lit(k)), r"^\s+|\s+$", ""))
-    stamp = p(2)
-    time = F.when(stamp.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?\s*(Z|UTC|[+-]\d\d:?\d\d|[+-]\d\d)?$"), F.when(stamp.rlike(r"(Z|UTC|[+-]\d\d:?\d\d|:\d\d(\.\d+)?[+-]\d\d)$"), stamp).otherwise(F.concat(stamp, F.lit("Z"))))
-    time = F.regexp_replace(time, r"([+-]\d\d)(\d\d)$", "$1:$2")
-    number = F.when(p(1).rlike(r"^\d+$"), p(1).try_cast("decimal(38,0)"))
-    rows = lines.filter((F.size("_p") == 6) & (p(5) == "")).select(
-        p(0).alias("device"), number.alias("record_no"), F.unix_micros(time.try_cast("timestamp")).alias("time_us"), _number(p(3)).alias("st"), _number(p(4)).alias("ast"), "file_id", "line_no"
-    )
+    lines = files.select(F.col(file_id).cast("long").alias("file_id"), F.posexplode(F.split(F.col(body), "\n")).alias("_n", "_line")).filter(F.col("_line").rlike(_LINE))
+    part = lines.select("file_id", (F.col("_n") + 1).cast("long").alias("line_no"), F.split("_line", ";").alias("_p"))
+    blank = F.lit(_BLANKS)
+    fields = part.select("file_id", "line_no", *[F.trim(F.get("_p", F.lit(k)), blank).alias(f"_{k}") for k in range(5)])
+    # a time without a zone is UTC; what stands behind the seconds and their fraction is the zone
+    zone = F.translate(F.substring("_2", 20, 64), "0123456789. ", "")
+    stamp = F.when(zone == "", F.concat("_2", F.lit("Z"))).when(zone.isin("+", "-"), F.regexp_replace("_2", r"([+-]\d\d)(\d\d)$", "$1:$2")).otherwise(F.col("_2"))
+    rows = fields.select(F.col("_0").alias("device"), F.col("_1").try_cast("decimal(38,0)").alias("record_no"), F.unix_micros(stamp.try_cast("timestamp")).alias("time_us"), _number(F.col("_3")).alias("st"), _number(F.col("_4")).alias("ast"), "file_id", "line_no")
     return rows.filter("device <> '' AND record_no IS NOT NULL AND time_us IS NOT NULL AND st IS NOT NULL AND ast IS NOT NULL AND file_id IS NOT NULL")
 
 
@@ -73,14 +74,15 @@ def merge_batches(batches: DataFrame, n_bytes: int, out: str, file_bytes: int =
     first_of_each(batches.repartition(parts, *RECORD)).write.mode("overwrite").parquet(out)
 
 
-def compact_table(spark: SparkSession, path: str, file_id: str, body: str, files_per_batch: int = 64, out: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+def compact_table(spark: SparkSession, path: str, file_id: str, body: str, files_per_batch: int = 64, out: str | None = None, file_bytes: int = FILE_BYTES, state: str | None = None) -> DataFrame:
     """All records of a stored table of small files, each once, after the stream has processed everything available.
 
     The result is the table written to ``out`` (by default a fresh folder of the shared one) by ``merge_batches``; a
-    further call for the same ``out`` replaces it.
+    further call for the same ``out`` replaces it. ``state`` is a folder for batches and progress that later calls go on
+    from, reading only files that came since; without it, each call reads everything.
     """
-    root = work_dir(spark, "compact")
-    out = out or f"{root}/table"
+    root = state or work_dir(spark, "compact")
+    out = out or f"{work_dir(spark, 'compact') if state else root}/table"
     stored = spark.read.parquet(path)
     stream = stream_of(spark, path, stored.schema, files_per_batch)
     compact_stream(stream, file_id, body, f"{root}/batches", f"{root}/progress").awaitTermination()
