@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thermaline.operators import alignment, noise, reports, resampling, sampling
 from thermaline.operators import sections as sec
+from thermaline.operators.campaigns import calibrate_campaigns
 from thermaline.operators.calibration import External, calibrate_double, calibrate_single, with_variance
 from thermaline.session import table
 
@@ -801,6 +802,40 @@ def interpolate_by_key(spark, sf_dir):
     return _lerp(spark, sf_dir, ["user_id"])
 
 
+
+# many campaigns in one plan, over the domain tables
+
+_CAMPAIGNS = """
+WITH m AS (SELECT meas_id, min(run_id) AS run_id, min(device_id) AS device_id, min(x) AS x, min(time) AS time, min(st) AS st, min(ast) AS ast FROM meas GROUP BY meas_id),
+s AS (SELECT run_id, time, max(cold) AS cold, max(warm) AS warm, max(ambient) AS ambient FROM series GROUP BY run_id, time),
+r AS (SELECT m.run_id, m.time, m.x, ln(st / ast) AS y, 1 / (0.01::DOUBLE / st + 0.01::DOUBLE / ast) AS w, CASE z.section WHEN 'cold' THEN cold WHEN 'warm' THEN warm ELSE ambient END AS bath
+  FROM m JOIN sections z ON m.device_id = z.device_id AND m.x BETWEEN z.x_start AND z.x_stop JOIN s ON m.run_id = s.run_id AND m.time = s.time WHERE st > 0 AND ast > 0),
+u AS (SELECT *, 1 / (bath + 273.15) AS u FROM r WHERE bath > -100 AND bath < 200),
+t AS (SELECT run_id, time, sum(w) AS sw, sum(w * u) / sum(w) AS mu, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM u GROUP BY run_id, time),
+d AS (SELECT u.run_id, w, u.u - mu AS u, mx - u.x AS x, u.y - my AS y FROM u JOIN t ON u.run_id = t.run_id AND u.time = t.time),
+g AS (SELECT run_id, sum(w * u * u) AS a, sum(w * u * x) AS b, sum(w * x * x) AS c, sum(w * u * y) AS p, sum(w * x * y) AS q, count(*) AS n FROM d GROUP BY run_id),
+par AS (SELECT run_id, (c * p - b * q) / (a * c - b * b) AS gamma, (a * q - b * p) / (a * c - b * b) AS dalpha, n FROM g),
+tmp AS (SELECT m.meas_id, par.gamma / (ln(st / ast) + par.gamma * mu - par.dalpha * mx - my + par.dalpha * m.x) - 273.15 AS tmpf FROM m JOIN t ON m.run_id = t.run_id AND m.time = t.time JOIN par ON par.run_id = m.run_id WHERE st > 0 AND ast > 0)
+"""
+
+
+def _campaigns(spark, sf_dir):
+    meas = table(spark, sf_dir, "meas").withColumn("time", F.col("time").cast("timestamp")).groupBy("meas_id").agg(*[F.min(c).alias(c) for c in ("run_id", "device_id", "ix", "x", "time", "st", "ast")])
+    series = table(spark, sf_dir, "series").withColumn("time", F.col("time").cast("timestamp"))
+    share = lambda v: v * 0.01
+    return calibrate_campaigns(meas, series, table(spark, sf_dir, "sections"), ["run_id"], share, share, "device_id")
+
+
+@query("campaign_parameters", _CAMPAIGNS + "SELECT run_id, round(gamma, 4) + 0.0 AS gamma, round(dalpha, 8) + 0.0 AS dalpha, n FROM par")
+def campaign_parameters(spark, sf_dir):
+    return _campaigns(spark, sf_dir).params.select("run_id", r("gamma", 4), r("dalpha", 8), "n")
+
+
+@query("campaign_temperature", _CAMPAIGNS + "SELECT meas_id, round(tmpf, 3) + 0.0 AS tmpf FROM tmp WHERE tmpf IS NOT NULL")
+def campaign_temperature(spark, sf_dir):
+    return _campaigns(spark, sf_dir).temperature.filter("tmpf IS NOT NULL").select("meas_id", r("tmpf", 3))
+
+
 def queries() -> dict:
     return QUERIES
 
