@@ -3,9 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
-from thermaline.llm.nearest import nearest_join, nearest_join_stream, pair
+from thermaline.llm.nearest import Rows, nearest_join, nearest_join_stream, pair
 
 TIMES = [datetime(1600, 1, 1), datetime(1899, 12, 31), datetime(1969, 12, 31, 23, 59, 50), datetime(1970, 1, 1), datetime(1970, 1, 1, 0, 0, 30), datetime(2023, 5, 1), datetime(2195, 1, 1)]
 TOLERANCE = 5_000_000
@@ -96,7 +97,14 @@ def test_late_rows_are_dropped_and_a_broken_clock_moves_nothing(spark, tmp_path)
     assert set().union(*added) == {(1, 10), (3, 30)}
 
 
+def paired(left, right, tolerance):
+    rows = lambda r: Rows.of(*(np.array([x[k] for x in r], dtype=np.int64) for k in range(3)))
+    return sorted(zip(*(a.tolist() for a in pair(rows(left), rows(right), tolerance))))
+
+
 def test_pairing_of_sorted_rows():
-    assert pair([(10, 1)], [(5, 7), (15, 3)], 5) == [(1, 3, 5)]
-    assert pair([(10, 1)], [(10, 3), (10, 2)][::-1], 5) == [(1, 2, 0)]
-    assert pair([(10, 1)], [], 5) == []
+    assert paired([(0, 10, 1)], [(0, 5, 7), (0, 15, 3)], 5) == [(1, 3, 5)]
+    assert paired([(0, 10, 1)], [(0, 10, 3), (0, 10, 2)], 5) == [(1, 2, 0)]
+    assert paired([(0, 10, 1)], [(0, 4, 9), (0, 4, 2), (0, 20, 1)], 6) == [(1, 2, 6)]
+    assert paired([(0, 10, 1)], [(1, 10, 3)], 5) == paired([(0, 10, 1)], [], 5) == paired([], [(0, 1, 1)], 5) == []
+    assert paired([(0, -(1 << 60), 1), (1, 1 << 60, 2)] * 2, [(1, (1 << 60) - 1, 5), (0, 1 - (1 << 60), 6)], 1) == [(1, 6, 1), (2, 5, 1)]

@@ -2,8 +2,9 @@
 
 Both sides are buffered per entity. A left row is emitted once the watermark has passed its time plus the
 tolerance, as no reading that could still be nearer can then arrive; right rows are evicted once the
-watermark has passed them by twice the tolerance. An entity's time is cut into sections, each with a state of its own, so a
-hot entity is spread over many tasks; right rows near a section's edge go to the neighbouring section as well.
+watermark has passed them by twice the tolerance. An entity's time is cut into sections, so a hot entity is spread over
+many tasks; right rows near a section's edge go to the neighbouring section as well. The sections of all entities are
+hashed into groups, each with one state, and all rows of a group are paired at once.
 
 Stored tables are played to the stream range by range of time, so that the watermark follows the data, pairs leave as soon
 as their horizon has passed, and the state holds no more than a range and what its edges need.
@@ -11,9 +12,10 @@ as their horizon has passed, and the state holds no more than a range and what i
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,52 +29,84 @@ OUT = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right
 FIRST_US, END_US = -2_208_988_800_000_000, 6_942_585_600_000_000
 SHIFT_US = 86_400_000_000 - FIRST_US
 FIRST_MS, END_MS = (FIRST_US + SHIFT_US) // 1000, (END_US + SHIFT_US) // 1000
-STATE = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("lt", "lid", "rt", "rid")])
-
-
-def pair(left: list[tuple[int, int]], right: list[tuple[int, int]], tolerance_us: int) -> list[tuple[int, int, int]]:
-    """(left id, right id, gap) of each (time, id) on the left; ``right`` is sorted; of equal gaps the smaller id wins."""
-    out, times = [], [t for t, _ in right]
-    for t, i in left:
-        k = bisect.bisect_left(times, t)
-        best = None
-        if k < len(right):  # the first at or after has the smallest id of its time, as (time, id) is sorted
-            best = (times[k] - t, right[k][1])
-        if k > 0:
-            j = bisect.bisect_left(times, times[k - 1])
-            best = min(best, (t - times[j], right[j][1])) if best else (t - times[j], right[j][1])
-        if best and best[0] <= tolerance_us:
-            out.append((i, best[1], best[0]))
-    return out
+#: Rows of a range for each task of a shuffle: what a task may have to hold as state.
+ROWS_PER_TASK = 100_000
+STATE = T.StructType([T.StructField(n, T.ArrayType(T.StringType() if n[1] == "e" else T.LongType())) for n in ("le", "lt", "li", "re", "rt", "ri")])
+#: Groups of states for each task of a shuffle; a group holds the sections of many entities, so that they are worked on together.
+GROUPS_PER_TASK = 8
+
+
+@dataclass
+class Rows:
+    """Rows of several entities, each once, in order of entity, time and id; ``code`` numbers the entities."""
+
+    code: np.ndarray
+    t: np.ndarray
+    id: np.ndarray
+
+    @classmethod
+    def of(cls, code: np.ndarray, t: np.ndarray, i: np.ndarray) -> Rows:
+        order = np.lexsort((i, t, code))
+        code, t, i = code[order], t[order], i[order]
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (t[1:] != t[:-1]) | (i[1:] != i[:-1])
+        return cls(code[new], t[new], i[new])
+
+    def part(self, keep: np.ndarray) -> Rows:
+        return Rows(self.code[keep], self.t[keep], self.id[keep])
+
+
+def pair(left: Rows, right: Rows, tolerance_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left ids, right ids and gaps of the left rows that have a right row of their entity near; of equal gaps the smaller id wins."""
+    n, m = len(left.t), len(right.t)
+    if not n or not m:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    # entity and time as one number, by the rank of the time
+    times = np.unique(np.concatenate([left.t, right.t]))
+    key = lambda r: r.code.astype(np.int64) * (len(times) + 1) + np.searchsorted(times, r.t)
+    lk, rk = key(left), key(right)
+    k = np.searchsorted(rk, lk)
+    far = np.int64(1) << 62
+    after = np.minimum(k, m - 1)  # the first of its time has the smallest id
+    gap_a = np.where((k < m) & (right.code[after] == left.code), right.t[after] - left.t, far)
+    last = np.maximum(k - 1, 0)
+    before = np.searchsorted(rk, rk[last])
+    gap_b = np.where((k > 0) & (right.code[last] == left.code), left.t - right.t[last], far)
+    use_b = (gap_b < gap_a) | ((gap_b == gap_a) & (right.id[before] < right.id[after]))
+    gap, at = np.where(use_b, gap_b, gap_a), np.where(use_b, before, after)
+    near = gap <= tolerance_us
+    return left.id[near], right.id[at[near]], gap[near]
 
 
 def _matcher(tolerance_us: int):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lt, lid, rt, rid = map(list, state.get) if state.exists else ([], [], [], [])
+        held = state.get if state.exists else ([], [], [], [], [], [])
+        names, stamps, ids, sides = [np.asarray([*held[0], *held[3]], dtype=object)], [np.asarray([*held[1], *held[4]], dtype=np.int64)], [np.asarray([*held[2], *held[5]], dtype=np.int64)], [np.arange(len(held[0]) + len(held[3])) >= len(held[0])]
         for b in batches:
-            side = b["_right"].to_numpy(dtype=bool)
-            t, i = b["_us"].to_numpy(), b["_id"].to_numpy()
-            lt += t[~side].tolist()
-            lid += i[~side].tolist()
-            rt += t[side].tolist()
-            rid += i[side].tolist()
+            names.append(b["_e"].to_numpy(dtype=object))
+            stamps.append(b["_us"].to_numpy(dtype=np.int64))
+            ids.append(b["_id"].to_numpy(dtype=np.int64))
+            sides.append(b["_right"].to_numpy(dtype=bool))
+        code, entities = pd.factorize(np.concatenate(names))
+        t, i, right = np.concatenate(stamps), np.concatenate(ids), np.concatenate(sides)
+        lefts, rights = Rows.of(code[~right], t[~right], i[~right]), Rows.of(code[right], t[right], i[right])
         # nothing older than the watermark arrives any more, and nothing at all after the end; before the first year all may
         mark = state.getCurrentWatermarkMs()
-        horizon = 1 << 62 if mark >= END_MS - 86_400_000 else mark * 1000 - SHIFT_US if mark >= FIRST_MS else -(1 << 62)
-        left, right = sorted(set(zip(lt, lid))), sorted(set(zip(rt, rid)))
-        cut = bisect.bisect_left(left, (horizon - tolerance_us, -(1 << 63)))
-        found = pair(left[:cut], right, tolerance_us)
-        left = left[cut:]
-        oldest = min(horizon, left[0][0] if left else horizon) - 2 * tolerance_us
-        right = right[bisect.bisect_left(right, (oldest, -(1 << 63))) :]
-        if left or (right and right[-1][0] >= oldest):
-            state.update(([t for t, _ in left], [i for _, i in left], [t for t, _ in right], [i for _, i in right]))
-            wake = (left[0][0] if left else right[-1][0] + tolerance_us) + tolerance_us
+        horizon = 1 << 61 if mark >= END_MS - 86_400_000 else mark * 1000 - SHIFT_US if mark >= FIRST_MS else -(1 << 61)
+        done = lefts.t < horizon - tolerance_us
+        found = pair(lefts.part(done), rights, tolerance_us)
+        lefts = lefts.part(~done)
+        oldest = np.full(len(entities), horizon, dtype=np.int64)
+        np.minimum.at(oldest, lefts.code, lefts.t)
+        rights = rights.part(rights.t >= oldest[rights.code] - 2 * tolerance_us)
+        if len(lefts.t) or len(rights.t):
+            state.update((list(entities[lefts.code]), lefts.t.tolist(), lefts.id.tolist(), list(entities[rights.code]), rights.t.tolist(), rights.id.tolist()))
+            wake = int(lefts.t.min()) + tolerance_us if len(lefts.t) else int(rights.t.max()) + 2 * tolerance_us
             state.setTimeoutTimestamp(max(FIRST_MS, min((wake + SHIFT_US) // 1000 + 1, END_MS - 86_400_000), mark + 1))
         elif state.exists:
             state.remove()
-        if found:
-            yield pd.DataFrame(found, columns=["left_id", "right_id", "gap_us"])
+        if len(found[0]):
+            yield pd.DataFrame(dict(zip(("left_id", "right_id", "gap_us"), found)))
 
     return step
 
@@ -89,7 +123,8 @@ def _matched(both: DataFrame, tolerance_us: int, delay: str, section_us: int) ->
     bucket = lambda d: F.expr(f"floor((_us + {d}) / {section_us})")
     sections = F.when(F.col("_right"), F.array_distinct(F.array(bucket(-tolerance_us), bucket(tolerance_us)))).otherwise(F.array(bucket(0)))
     rows = both.withColumn("_s", F.explode(sections)).withWatermark("_ts", delay)
-    return rows.groupBy("_e", "_s").applyInPandasWithState(_matcher(tolerance_us), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    groups = GROUPS_PER_TASK * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_g", F.pmod(F.xxhash64("_e", "_s"), F.lit(groups))).groupBy("_g").applyInPandasWithState(_matcher(tolerance_us), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def nearest_join_stream(left: DataFrame, right: DataFrame, entity: str, time: str, left_id: str, right_id: str, tolerance_us: int, delay: str, section_us: int = 6 * 3_600_000_000, latest: str | None = None) -> DataFrame:
@@ -107,17 +142,18 @@ def nearest_join_stream(left: DataFrame, right: DataFrame, entity: str, time: st
     return _matched(both, tolerance_us, delay, section_us)
 
 
-def nearest_join(left_path: str, right_path: str, spark, entity: str, time: str, left_id: str, right_id: str, tolerance_us: int, keep: str = "true", delay: str = "1 second", section_us: int = 6 * 3_600_000_000, range_rows: int = 2_000_000) -> DataFrame:
+def nearest_join(left_path: str, right_path: str, spark, entity: str, time: str, left_id: str, right_id: str, tolerance_us: int, keep: str = "true", delay: str = "1 second", section_us: int = 6 * 3_600_000_000, range_rows: int | None = None) -> DataFrame:
     """All pairs of two stored tables, made by the streaming join run over everything available.
 
-    Both tables are laid out by ranges of time of about ``range_rows`` rows and handed to the stream one range after the other, so
-    no row is late; a last row far ahead then moves the watermark past every horizon. Right rows not fulfilling ``keep`` take
+    Both tables are laid out by ranges of time of about ``range_rows`` rows (by default ``ROWS_PER_TASK`` for each task of a
+    shuffle, so ranges grow with the cluster) and handed to the stream one range after the other, so no row is late; a last row far ahead then moves the watermark past every horizon. Right rows not fulfilling ``keep`` take
     no part. Ranges, state, progress and output lie in the shared folder, so that a lost executor's work is redone from
-    there, and a range that was interrupted is taken up again by its number.
+    there.
     """
     read = lambda path: spark.read.parquet(path)
     both = _side(read(left_path), entity, time, left_id, False).unionByName(_side(read(right_path).filter(keep), entity, time, right_id, True))
     root = work_dir(spark, "nearest")
+    range_rows = range_rows or ROWS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, -(-both.count() // range_rows))
     cuts = sorted({int(c) for c in both.approxQuantile("_us", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []  # as many as ranges
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("_us")))
