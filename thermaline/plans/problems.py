@@ -11,6 +11,7 @@ from thermaline.operators.nested import composite_tables, curves_with_software
 from thermaline.operators.regrid import regular_grid
 from thermaline.operators.spikes import Field, flag_implausible
 from thermaline.operators.timestamps import normalise_stamps
+from thermaline.plans import stamps_sql
 from thermaline.session import table, written
 from thermaline.streaming.compact import compact_table
 
@@ -216,6 +217,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": stamps_sql.statement() + "SELECT file_id, field, utc_us FROM done WHERE utc_us IS NOT NULL",
+        "p1_statuses": stamps_sql.statement() + "SELECT field, status, format, count(*) AS stamps FROM done GROUP BY field, status, format",
         "p3_found": f"SELECT run_id, slot_us FROM ({_SQL_P3_GRID}) WHERE readings = 0",
         "p3_grid": _SQL_P3_GRID, "p3_counter": _SQL_P3_COUNTER, "p5_found": _SQL_P5, "p5_wellbores": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.name' AS name FROM wellbore",
         "p5_logs": _SQL_LEVELS + "SELECT raw_id, well_no, wellbore_no, log_no, v ->> '$.\"@uid\"' AS uid, v ->> '$.creationDate' AS creation_date, version AS software_version FROM log JOIN soft USING (raw_id, well_no, wellbore_no, log_no)",
