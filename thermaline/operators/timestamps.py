@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermaline.session import written
+
 DAY_US = 86_400_000_000
 #: More declared orders than this are joined by a shuffle, fewer, once counted, are broadcast.
 MOST_DECLARED = 100_000
@@ -182,6 +184,7 @@ def normalise_stamps(
     near = F.transform(F.col("_cand"), lambda d: F.when(d.isNull(), 0.0).when(F.col("_arr").isNull(), 1.0).otherwise(F.pow(F.lit(2.0), -F.least(F.lit(10.0), F.floor(F.log2(1 + F.abs(F.floor(F.col("_arr") / DAY_US) - d)))))))
     unread = F.when(F.col("_order").isNotNull() & F.get("_cand", F.col("_order") - 1).isNull(), 1.0).otherwise(0.0)
     read = read.withColumn("_lik", F.when(F.col("_cand").isNotNull(), F.concat(near, F.array(unread))))
+    read = written(read, "stamps")  # so that each stamp is matched once, for the mixture and for its own reading
     counts = read.filter("_lik IS NOT NULL").groupBy("_src", "_lik").agg(F.count("*").alias("_n"), F.first("_order").alias("_order"))
     mixed = counts.groupBy("_src").agg(F.collect_list(F.struct("_lik", "_n")).alias("_cells"), F.first("_order").alias("_order"))  # at most 2 * 12^3 patterns a source
     known = F.col("_order").isNotNull()
