@@ -41,8 +41,8 @@ def validate_definition(sections: dict) -> dict:
 
 def overlaps(sections: DataFrame) -> DataFrame:
     """Stretches that begin before an earlier one has ended; touching is allowed. Sections with an overlap are invalid."""
-    w = Window.partitionBy().orderBy("x_start", "x_stop").rowsBetween(Window.unboundedPreceding, -1)
-    return sections.withColumn("earlier_stop", F.max("x_stop").over(w)).filter("x_start < earlier_stop")
+    w = Window.partitionBy().orderBy("x_start", "x_stop").rowsBetween(Window.unboundedPreceding, -1)  # over at most MOST_STRETCHES rows
+    return bounded(sections).withColumn("earlier_stop", F.max("x_stop").over(w)).filter("x_start < earlier_stop")
 
 
 def bounded(sections: DataFrame) -> DataFrame:
