@@ -1,6 +1,7 @@
 """Round trips through the readers: the grid fixture is written as each vendor's text files, one a quarter, and read back.
 
-The SQL is the grid itself, so a query is right only if every value, place and time survives.
+The SQL is the grid itself, so a query is right only if every value, place and time survives. The grid is complete at sf0.01 and
+above; at sf0.001 some quarters lack locations, and the readers refuse such files, as they must.
 """
 
 from __future__ import annotations
